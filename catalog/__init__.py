@@ -6,7 +6,7 @@ import importlib
 
 from catalog.registry import ORACLES, QUERIES
 
-SECTIONS = ["windows", "aggregates"]
+SECTIONS = ["ingest", "scalars", "joins", "windows", "aggregates"]
 
 
 def _load() -> None:

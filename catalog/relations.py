@@ -304,3 +304,20 @@ from c left join mk on c.ym = mk.ym left join y on c.ym = y.ym join n on c.secto
 window w as (partition by c.sector order by c.ym)""")
 
 relation("eligible_long", "select *, H as h from (unpivot (select ym, symbol, date, close, cumlog, mom_3m, dist_252h, adv_growth, sector_name, fwd_1, fwd_2, fwd_3 from eligible) on fwd_1, fwd_2, fwd_3 into name k value fwd) q, (values ('fwd_1', 1), ('fwd_2', 2), ('fwd_3', 3)) v(kk, H) where k = kk")
+
+relation("feed_fields", "select file, pos, string_split(line, '|') as f from feed where len(string_split(line, '|')) >= 10")
+relation("feed_typed", """
+select file, pos, cast(strptime(trim(f[1]), '%d%b%Y') as date) as date, trim(f[2]) as symbol, trim(f[3]) as sector, trim(f[4]) as name, try_cast(trim(f[8]) as double) as close,
+  coalesce(cast(try_cast(trim(f[9]) as double) as bigint), 0) as volume, try_cast(trim(f[10]) as double) as ldcp from feed_fields where try_cast(trim(f[8]) as double) > 0""")
+relation("feed_panel", "select date, symbol, sector, name, close, volume, ldcp from feed_typed qualify row_number() over (partition by date, symbol order by file desc, pos desc) = 1")
+
+relation("gated_periods", """
+with l as (select ym, symbol, date, mom_3m, dist_252h, coalesce(adv_growth, 0) as ag, h, case h when 1 then fwd_1 when 2 then fwd_2 else fwd_3 end as fwd from eligible, (values (1),(2),(3)) v(h)),
+d as (select * from l where fwd is not null),
+k as (select h, ym from (select h, ym, row_number() over (partition by h order by ym) - 1 as i from (select distinct h, ym from d) q) z where i % h = 0),
+s as (select d.*, (mom_3m-avg(mom_3m) over w)/(stddev_samp(mom_3m) over w + 1e-9) + (-dist_252h-avg(-dist_252h) over w)/(stddev_samp(-dist_252h) over w + 1e-9) + (ag-avg(ag) over w)/(stddev_samp(ag) over w + 1e-9) as score,
+  count(*) over w as n, max(d.date) over w as edate from d join k on d.h = k.h and d.ym = k.ym window w as (partition by d.h, d.ym)),
+t as (select h, ym, edate, avg(fwd) as gross from (select *, row_number() over (partition by h, ym order by score desc nulls last, symbol) as rn from s where n >= 15) q where rn <= 5 group by 1, 2, 3),
+r as (select t.*, case when m.date is null then 11.0 else m.policy_rate end / 100 * h / 12 as carry, coalesce((select exposure from flags f where f.date <= t.edate order by f.date desc limit 1) >= 0.5, false) as risk_on
+  from t left join macro m on cast(date_trunc('month', m.date) as date) = t.ym)
+select cast(h as int) as H, ym, edate as date, gross, carry, risk_on, case when risk_on then gross - 0.005 - carry else carry end as ret from r""")
