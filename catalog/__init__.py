@@ -6,7 +6,7 @@ import importlib
 
 from catalog.registry import ORACLES, QUERIES
 
-SECTIONS = ["ingest", "scalars", "joins", "windows", "aggregates"]
+SECTIONS = ["ingest", "scalars", "joins", "windows", "aggregates", "strategies"]
 
 
 def _load() -> None:

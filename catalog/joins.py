@@ -47,11 +47,11 @@ def _(c):
     return asof.backward_asof(orders, steps, "paid", ("cust",))
 
 
-@query("c4_asof_with_early_fill", "select o_orderkey, (select coalesce(max_by(rate, date) filter (date <= cast(o_orderdate as date)), min_by(rate, date)) from rate_events) as rate from orders", "rate")
+@query("c4_asof_with_early_fill", "select o_orderkey, (select coalesce(max_by(rate, date) filter (date <= cast(o_orderdate as date)), min_by(rate, date)) from rate_events where date >= date '1996-01-01') as rate from orders", "rate")
 def _(c):
     # decisions from the second year on, so that early orders need the fill
     orders = c.table("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
-    return asof.backward_asof(orders, c.m.rates.select("date", "rate"), "rate", fill_early=True).drop("date")
+    return asof.backward_asof(orders, c.m.rates.filter("date >= '1996-01-01'").select("date", "rate"), "rate", fill_early=True).drop("date")
 
 
 @query("c5_signal_at_entry", "select e.ym, e.date, f.exposure from (select ym, max(date) as date from eligible group by 1) e asof left join flags f on e.date >= f.date", "exposure")

@@ -205,3 +205,26 @@ def market_state(market: DataFrame) -> DataFrame:
 
     dd = F.col("level") / R.rolling(F.max, "level", 63, 20, R.series_window()) - 1
     return trend_flags(market).select("date", dd.alias("dd"), clip("exposure", 0, 1).alias("exposure"))
+
+
+def rotation_summary(months: DataFrame, macro: DataFrame, cost: float = fv.COST_ROTATION) -> DataFrame:
+    """Evaluation of sector picks net of cost and carry, both for the picks and for the
+    universe at the same carry. A month without a rate has a null carry."""
+    from panelkit.functions.scalar import month_start, period_carry
+
+    rate = macro.select(month_start("date").alias("ym"), "policy_rate")
+    m = months.join(calendar_broadcast(rate), "ym", "left").withColumn("carry", period_carry("policy_rate", F.col("H")))
+    base = m.groupBy("H").agg(
+        F.count("ym").alias("n_months"), F.avg("ic").alias("ic_mean"), S.t_of_mean("ic").alias("ic_t"), F.avg("top").alias("top_avg_fwd"),
+        F.avg("uni").alias("uni_avg_fwd"), F.avg("spread").alias("spread"), S.t_of_mean("spread").alias("spread_t"),
+        S.share_true(F.col("spread") > 0).alias("hit_rate"), F.avg("prec").alias("precision_at_k"), F.avg("carry").alias("avg_carry"),
+    )
+    legs = F.array(
+        F.struct(F.lit("top").alias("leg"), (F.col("top") - cost - F.col("carry")).alias("ret")),
+        F.struct(F.lit("uni").alias("leg"), (F.col("uni") - F.col("carry")).alias("ret")),
+    )
+    held = rebalance_months(m).select("H", "ym", F.explode(legs).alias("l")).select("H", "ym", "l.*")
+    perf = period_perf(held, ["H", "leg"], 12 / F.col("H"), min_periods=1)
+    wide = perf.groupBy("H").pivot("leg", ["top", "uni"]).agg(F.first("cagr").alias("cagr_net"), F.first("sharpe").alias("sharpe_net"))
+    usable = (F.col("ic_t") >= 2) & (F.col("spread_t") >= 1.5) & (F.col("spread") > 0.005)
+    return base.join(wide, "H", "left").withColumn("reliable", usable)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.scalar import month_index
 from panelkit.operators import xsection as X
 from panelkit.plans.folds import purged_folds
-from panelkit.session import keep, materialize, shared_dir
+from panelkit.session import materialize, shared_dir
 
 
 def assembled(df: DataFrame, features: list[str], label: str | None) -> DataFrame:
@@ -45,9 +45,9 @@ def probability(scored: DataFrame) -> DataFrame:
 
 def time_split_classifier(panel: DataFrame, features: list[str], label: str, cutoff: str, est: Estimator) -> tuple[Model, DataFrame]:
     """Fit before the cutoff date, score from it on. Returns the model and scored rows."""
-    df = assembled(panel, features, label)
+    df = assembled(materialize(panel, "labelled"), features, label)
     cut = F.lit(cutoff).cast("date")
-    model = est.fit(keep(df.filter(F.col("date") < cut)))
+    model = est.fit(df.filter(F.col("date") < cut))
     return model, materialize(probability(model.transform(df.filter(F.col("date") >= cut))).drop("features"), "scores")
 
 

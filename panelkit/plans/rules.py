@@ -41,8 +41,7 @@ def mark_to_latest(picks: DataFrame, prices: DataFrame, keep_unmarked: bool = Fa
     ``keep_unmarked`` it stays with a null return instead of dropping out."""
     last = prices.select(F.max("date")).scalar()
     how = "left" if keep_unmarked else "inner"
-    names = calendar_broadcast(picks.select("symbol").distinct())
-    held = prices.select("symbol", "date", "cumlog", "close").join(names, "symbol", "left_semi")
+    held = prices.select("symbol", "date", "cumlog", "close").join(picks.select("symbol"), "symbol", "left_semi")
     at_entry = held.select("symbol", F.col("date").alias("entry_date"), F.col("cumlog").alias("_c0"))
     at_last = held.filter(F.col("date") == last).select("symbol", F.col("cumlog").alias("_c1"), F.col("close").alias("last_close"))
     return (

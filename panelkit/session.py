@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,12 +33,6 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist a frame that several plans read. It spills to disk, and lost blocks
-    are recomputed from lineage, so losing an executor costs time only."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def materialize(df: DataFrame, purpose: str, bucket_by: str | None = None, sort_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a frame once to the shared folder and read it back: later plans start at a
     table, so lineage is cut and a lost executor costs no recomputation.
