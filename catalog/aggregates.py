@@ -137,7 +137,7 @@ def _(c):
 
 
 STATS = """select symbol, name, sector, start, "end", (("end" - start) / 365.25) as years, exp(l - f) as end_mult, exp(pk - f) as peak_mult,
- case when ("end" - start) / 365.25 > 0.5 then pow(exp(l - f), 365.25 / ("end" - start)) - 1 end as cagr, (select min(p.date) from prices p where p.symbol = g.symbol and p.cumlog = pk) as peak_date, med_adv, last_close
+ case when ("end" - start) / 365.25 > 0.5 then pow(exp(l - f), 365.25 / ("end" - start)) - 1 end as cagr, (select min(p.date) from prices p where p.symbol = g.symbol and round(p.cumlog, 9) = round(pk, 9)) as peak_date, med_adv, last_close
  from (select symbol, max_by(name, date) as name, max_by(sector_name, date) as sector, min(date) as start, max(date) as "end", min_by(cumlog, date) as f, max_by(cumlog, date) as l, max(cumlog) as pk,
  quantile_cont(adv_20, 0.5) as med_adv, max_by(close, date) as last_close from prices group by symbol having count(*) >= 60) g where med_adv >= 30000 and last_close >= 2"""
 
@@ -235,9 +235,9 @@ def _(c):
 
 
 @query("d28_auc", """select (sum(rk * surge) - sum(surge) * (sum(surge) + 1) / 2) / (sum(surge) * sum(1 - surge)) as auc, cast(sum(surge) as bigint) as positives, cast(sum(1 - surge) as bigint) as negatives from (
- select surge, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 as rk from (select surge, round(dist_20h, 2) as s from surge_panel) q) z""", "auc")
+ select surge, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 as rk from (select surge, round(log_adv, 1) as s from surge_panel) q) z""", "auc")
 def _(c):
-    return X.auc(_surge(c).withColumn("score", F.round("dist_20h", 2)), "score", "surge")
+    return X.auc(_surge(c).withColumn("score", F.round("log_adv", 1)), "score", "surge")
 
 
 @query("d29_sector_base_rates", "select sector_name, avg(surge) as surge_rate, count(*) as n from surge_panel group by 1 having count(*) >= 50", "surge_rate")

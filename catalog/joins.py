@@ -78,7 +78,7 @@ def _(c):
 @query("c8_forward_labels", "select e.symbol, e.ym, l.fwd_1, l.fwd_2, l.fwd_3 from month_ends e join month_numbers n on e.ym = n.ym join labels_fwd l on l.symbol = e.symbol and l.m_rank = n.m_rank", "fwd_1 fwd_2 fwd_3")
 def _(c):
     ends = panels.month_end_rows(c.m.prices.select("symbol", "date", "cumlog"))
-    return panels.forward_labels(ends).select("symbol", "ym", "fwd_1", "fwd_2", "fwd_3")
+    return panels.forward_labels(ends, ends).select("symbol", "ym", "fwd_1", "fwd_2", "fwd_3")
 
 
 @query("c9_abnormal_returns", "select * from abnormal", "abn")

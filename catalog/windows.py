@@ -60,13 +60,12 @@ def _(c):
 
 @query("e7_rolling_beta", "select symbol, date, case when emm - em*em <> 0 then (erm - er*em)/(emm - em*em) end as beta_60 from features_daily", "beta_60")
 def _(c):
-    mkt = baskets.market_index(c.m.prices, MIN_ADV)
-    return panels.market_beta(c.m.prices.join(months.calendar_broadcast(mkt), "date", "left")).select("symbol", "date", "beta_60")
+    return panels.symbol_features(c.m.prices, baskets.market_index(c.m.prices, MIN_ADV)).select("symbol", "date", "beta_60")
 
 
 @query("e8_illiquidity", "select symbol, date, amihud * 1e6 as amihud_e6 from features_daily", "amihud_e6")
 def _(c):
-    return panels.symbol_features(c.m.prices).select("symbol", "date", (F.col("amihud") * 1e6).alias("amihud_e6"))
+    return panels.symbol_features(c.m.prices, baskets.market_index(c.m.prices, MIN_ADV)).select("symbol", "date", (F.col("amihud") * 1e6).alias("amihud_e6"))
 
 
 @query("e9_market_momentum", "select date, mkt_ret_20, mkt_mom_3m from full_context", "mkt_ret_20 mkt_mom_3m")
@@ -113,7 +112,7 @@ def _(c):
 @query("e15_trailing_percentile_rank", "select date, momentum from mood_components", "momentum")
 def _(c):
     w = R.series_window()
-    df = trend.add_level(c.m.market).withColumn("x", F.col("level") / R.rolling(F.avg, "level", 125, 40, w) - 1)
+    df = trend.add_level(c.m.market).withColumn("x", F.round(F.col("level") / R.rolling(F.avg, "level", 125, 40, w) - 1, 9))
     return df.select("date", R.trailing_pct_rank("x", 252, 90, w).alias("momentum"))
 
 

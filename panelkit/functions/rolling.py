@@ -105,15 +105,15 @@ def pct_change(padded_col: Column | str, k: int, w: WindowSpec) -> Column:
     return p / F.lag(p, k).over(w) - 1
 
 
-def trailing_pct_rank(c: Column | str, n: int, min_periods: int, w: WindowSpec, digits: int = 9) -> Column:
+def trailing_pct_rank(c: Column | str, n: int, min_periods: int, w: WindowSpec) -> Column:
     """Share (0-100) of the window's rows that the current value reaches or exceeds.
 
-    Missing values stay in the denominator, and a missing current value scores 0.
-    Values are compared at ``digits`` decimals so that equal levels stay equal
-    whatever the summation order. For aggregated series only: each row holds its frame.
+    Missing values stay in the denominator, and a missing current value scores 0. Round
+    the column in an earlier projection, so that equal levels stay equal whatever the
+    summation order. For aggregated series only: each row holds its frame.
     """
     frame = last_rows(w, n)
-    x = F.round(col(c), digits)
+    x = col(c)
     values = F.collect_list(x).over(frame)
     reached = F.coalesce(F.size(F.filter(values, lambda v: v <= x)), F.lit(0))
     rows = F.count(F.lit(1)).over(frame)

@@ -42,10 +42,14 @@ def add_history(df: DataFrame) -> DataFrame:
     )
 
 
-def price_panel(raw: DataFrame, sectors: DataFrame) -> DataFrame:
+def price_panel(raw: DataFrame, sectors: DataFrame, partitions: int | None = None) -> DataFrame:
     """The clean panel. Filters sit before the windows because dropped lines must not
-    count as rows of a symbol; the liquidity filter comes later for the same reason."""
+    count as rows of a symbol; the liquidity filter comes later for the same reason.
+    With ``partitions``, the one exchange of the windows also places the rows for a
+    table bucketed by symbol."""
     clean = drop_non_equity(raw.withColumn("sector", F.trim("sector")))
+    if partitions:
+        clean = clean.repartition(partitions, "symbol")
     return add_sector(add_history(add_returns(clean)), sectors)
 
 

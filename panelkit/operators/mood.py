@@ -27,7 +27,9 @@ def mood_components(market: DataFrame, breadth: DataFrame) -> DataFrame:
             "_dd": F.col("level") / R.rolling(F.max, "level", 252, 60, w) - 1,
         }
     )
-    ranks = {c: R.trailing_pct_rank(c, 252, 90, w) for c in ("_mom", "_br", "_vol", "_dd")}
+    inputs = ("_mom", "_br", "_vol", "_dd")
+    raw = raw.withColumns({c: F.round(c, 9) for c in inputs})
+    ranks = {c: R.trailing_pct_rank(c, 252, 90, w) for c in inputs}
     return raw.select(
         "date",
         ranks["_mom"].alias("momentum"),

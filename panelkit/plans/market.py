@@ -12,7 +12,7 @@ from panelkit.operators import baskets, clean, months, mood
 from panelkit.operators.asof import backward_asof
 from panelkit.operators.dims import operating_names
 from panelkit.plans import panels, views
-from panelkit.session import materialize
+from panelkit.session import bucket_count, materialize
 
 
 @dataclass
@@ -39,7 +39,11 @@ class Market:
     def prices(self) -> DataFrame:
         if self.clean_prices is not None:
             return self.clean_prices
-        return materialize(clean.price_panel(self.raw, self.sectors), "prices", "symbol", ("date",))
+        return self._write_prices()
+
+    def _write_prices(self) -> DataFrame:
+        buckets = bucket_count(self.raw.sparkSession)
+        return materialize(clean.price_panel(self.raw, self.sectors, buckets), "prices", "symbol", ("date",))
 
     @cached_property
     def market(self) -> DataFrame:

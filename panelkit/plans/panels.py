@@ -18,10 +18,26 @@ from panelkit.operators.trend import market_momentum
 HORIZONS = (1, 2, 3)
 
 
-def symbol_features(prices: DataFrame) -> DataFrame:
-    """Daily trailing features of each symbol, all over one (symbol, date) window."""
+def symbol_features(prices: DataFrame, market: DataFrame) -> DataFrame:
+    """Daily trailing features of each symbol, with ``ym`` and whether the row is the
+    symbol's last of its month.
+
+    ``market`` has one row per date and is broadcast, so rows stay where they are. Every
+    window expression sits in one projection over one (symbol, date) order: Spark plans
+    a single Window operator, and frames of equal length share one buffer.
+    """
     w = R.symbol_window()
-    df = prices.withColumns(
+    df = prices.join(M.calendar_broadcast(market), "date", "left").withColumns(
+        {
+            "ym": month_start("date"),
+            "_up": (F.col("r1") > 0).cast("double"),
+            "_il": safe_div(F.abs("r1"), "value"),
+            "_rm": F.col("r1") * F.col("mkt_r"),
+            "_mm": F.col("mkt_r") * F.col("mkt_r"),
+        }
+    )
+    moments = {n: R.rolling(F.avg, c, 60, 30, w) for n, c in (("_er", "r1"), ("_em", "mkt_r"), ("_erm", "_rm"), ("_emm", "_mm"))}
+    df = df.withColumns(
         {
             "mom_1m": R.trailing_return("cumlog", 21, w),
             "mom_3m": R.trailing_return("cumlog", 63, w),
@@ -35,14 +51,18 @@ def symbol_features(prices: DataFrame) -> DataFrame:
             "dist_6mlow": R.distance_from_min("cumlog", 126, 40, w),
             "dd_6m": R.distance_from_max("cumlog", 126, 40, w),
             "maxup_1m": R.rolling(F.max, "r1", 20, 10, w),
-            "upday_frac": R.rolling(F.avg, (F.col("r1") > 0).cast("double"), 20, 10, w),
-            "amihud": R.rolling(F.avg, safe_div(F.abs("r1"), "value"), 20, 10, w),
+            "upday_frac": R.rolling(F.avg, "_up", 20, 10, w),
+            "amihud": R.rolling(F.avg, "_il", 20, 10, w),
+            "is_month_end": R.is_last_of("ym", w),
             # the median of 120 values is taken from this frame on the sampled rows only
             "_value120": F.collect_list("value").over(R.last_rows(w, 120)),
+            **moments,
         }
     )
+    beta = safe_div(F.col("_erm") - F.col("_er") * F.col("_em"), F.col("_emm") - F.col("_em") * F.col("_em"))
     return df.withColumns(
         {
+            "beta_60": beta,
             "log_adv": F.log1p("adv_20"),
             "turnover": safe_div("value", "adv_20"),
             "log_price": F.log(floor_at("close", 0.1)),
@@ -50,7 +70,7 @@ def symbol_features(prices: DataFrame) -> DataFrame:
             "mom_accel": F.col("mom_1m") - F.col("mom_3m") / 3.0,
             "vol_ratio": safe_div("vol_1m", "vol_3m"),
         }
-    )
+    ).drop("_up", "_il", "_rm", "_mm", *moments)
 
 
 def adv_growth(values: str, min_periods: int) -> Column:
@@ -59,26 +79,18 @@ def adv_growth(values: str, min_periods: int) -> Column:
     return F.log1p("adv_20") - F.when(F.size(v) >= min_periods, F.log1p(R.median_of(v)))
 
 
-def market_beta(df: DataFrame) -> DataFrame:
-    """Rolling beta from product moments of own and market returns."""
-    w = R.symbol_window()
-    own, mkt = F.col("r1"), F.col("mkt_r")
-    er, em, erm, emm = (R.rolling(F.avg, c, 60, 30, w) for c in (own, mkt, own * mkt, mkt * mkt))
-    return df.withColumn("beta_60", safe_div(erm - er * em, emm - em * em))
-
-
 def month_end_rows(df: DataFrame) -> DataFrame:
-    """Each symbol's last row per month. The next row's month decides, so the window
-    is the one the features already use."""
+    """Each symbol's last row per month, found by the month of its next row."""
     df = df.withColumn("ym", month_start("date"))
     return df.withColumn("_last", R.is_last_of("ym", R.symbol_window())).filter("_last").drop("_last")
 
 
-def forward_labels(month_ends: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+def forward_labels(month_ends: DataFrame, months: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """fwd_H: return to the same symbol's row H months on, by the grid of months
-    present. That row is at most H rows ahead, so leads replace a self-join."""
-    df = month_ends.join(M.calendar_broadcast(M.month_rank(month_ends)), "ym")
-    w = R.symbol_window(order="m_rank")
+    present (``months``: any frame with their ym). That row is at most H rows ahead, so
+    leads in date order replace a self-join."""
+    df = month_ends.join(M.calendar_broadcast(M.month_rank(months)), "ym")
+    w = R.symbol_window()
 
     def label(h: int) -> Column:
         hits = [
@@ -122,13 +134,12 @@ def feature_panel(
     """
     market = market_index(prices, min_adv)
     context = market_momentum(market, 63, "mkt_mom_3m").select("date", "mkt_r", "mkt_mom_3m")
-    w = R.symbol_window()
-    daily = symbol_features(prices).join(M.calendar_broadcast(context), "date", "left")
-    ends = month_end_rows(market_beta(daily)).withColumn("adv_growth", adv_growth("_value120", 40)).drop("_value120")
+    daily = symbol_features(prices, context)
+    ends = daily.filter("is_month_end").withColumn("adv_growth", adv_growth("_value120", 40)).drop("_value120", "is_month_end")
 
-    momentum = prices.select("date", "sector", R.trailing_return("cumlog", 63, w).alias("_m3"))
+    momentum = prices.select("date", "sector", R.trailing_return("cumlog", 63, R.symbol_window()).alias("_m3"))
     medians = group_median(momentum, ["date", "sector"], "_m3", "_sec3")
-    ends = forward_labels(ends).join(medians, ["date", "sector"], "left")
+    ends = forward_labels(ends, prices.select(month_start("date").alias("ym"))).join(medians, ["date", "sector"], "left")
     ends = ends.withColumns(
         {"rel_str_3m": F.col("mom_3m") - F.col("mkt_mom_3m"), "rel_sec_3m": F.col("mom_3m") - F.col("_sec3")}
     ).drop("_sec3")

@@ -33,20 +33,23 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def materialize(df: DataFrame, purpose: str, bucket_by: str | None = None, sort_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a frame once to the shared folder and read it back: later plans start at a
     table, so lineage is cut and a lost executor costs no recomputation.
 
-    ``bucket_by`` stores one file per hash bucket, so later windows and joins on that
-    column need no exchange. Bucketing needs a catalog entry; it is made only in the
-    session's own in-memory catalog.
+    ``bucket_by`` stores hash buckets of a frame already partitioned by that column into
+    ``bucket_count`` parts, so later windows and joins on it need no exchange. Bucketing
+    needs a catalog entry; it is made only in the session's own in-memory catalog.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     if bucket_by and spark.conf.get("spark.sql.catalogImplementation") == "in-memory":
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"panelkit_{purpose}_{uuid.uuid4().hex}"
-        writer = df.repartition(buckets, bucket_by).write.bucketBy(buckets, bucket_by)
+        writer = df.write.bucketBy(bucket_count(spark), bucket_by)
         writer.sortBy(bucket_by, *sort_by).option("path", path).saveAsTable(name)
         return spark.table(name)
     df.write.mode("overwrite").parquet(path)
