@@ -135,18 +135,24 @@ def embargoed_split(panel: DataFrame, label: str, h: int, test_months: int = 18)
     return m.filter(F.col("_m") < cut - h).drop("_m"), m.filter(F.col("_m") >= cut).drop("_m")
 
 
-def current_picks(panel: DataFrame, features: list[str], horizons: tuple[int, ...], make: Callable[[str], Estimator], k: int, name: str = "symbol", ym=None) -> DataFrame:
+def current_picks(panel: DataFrame, features: list[str], horizons: tuple[int, ...], make: Callable[[str], Estimator], k: int, name: str = "symbol", ym=None, min_train: int = 300) -> DataFrame:
     """(H, ym, name, rank, score): per horizon, fit on all labels realised before the
-    chosen month (the latest by default), score that month, keep the k best."""
+    chosen month (the latest by default), score that month, keep the k best. A horizon
+    with fewer than ``min_train`` training rows or k candidates has no picks."""
     df = materialize(panel.dropna(subset=features).select("ym", name, *features, *[f"fwd_{h}" for h in horizons]), "current")
     df = assembled(df, features, None).withColumn("_m", month_index("ym"))
     entry = df.select(F.max("ym")).scalar() if ym is None else ym
     at = df.select(month_index(F.max("ym"))).scalar() if ym is None else month_index(ym)
-    out = None
+    current = df.filter(F.col("ym") == entry)
+    out = df.sparkSession.createDataFrame([], df.select(F.lit(1).alias("H"), "ym", name, F.lit(1).alias("rank"), F.lit(0.0).alias("score")).schema)
+    if current.count() < k:
+        return out
     for h in horizons:
         label = f"fwd_{h}"
-        model = make(label).fit(df.filter((F.col("_m") <= at - h) & F.col(label).isNotNull()))
-        scored = model.transform(df.filter(F.col("ym") == entry)).select("ym", name, F.col("prediction").alias("score"), F.lit(h).alias("H"))
-        top = X.top_k(scored, "score", k, ["H", "ym"], tie=name)
-        out = top if out is None else out.unionByName(top)
-    return out.select("H", "ym", name, "rank", "score")
+        train = df.filter((F.col("_m") <= at - h) & F.col(label).isNotNull())
+        if train.count() < min_train:
+            continue
+        scored = make(label).fit(train).transform(current)
+        scored = scored.select("ym", name, F.col("prediction").alias("score"), F.lit(h).alias("H"))
+        out = out.unionByName(X.top_k(scored, "score", k, ["H", "ym"], tie=name))
+    return out
