@@ -114,7 +114,7 @@ def _(c):
     return trend.threshold_signals(c.m.macro)
 
 
-@query("b16_verdicts", f"""select max(case when bucket = 'high' then excess_avg end) as excess_high, max(case when bucket = 'low' then excess_avg end) as excess_low, case when max(case when bucket = 'high' then excess_avg end) > max(case when bucket = 'low' then excess_avg end) + 0.005 then 'supported'
+@query("b16_verdicts", f"""select max(case when bucket = 'high' then excess_avg end) as excess_high, max(case when bucket = 'low' then excess_avg end) as excess_low, case when max(case when bucket = 'high' then excess_avg end) is null or max(case when bucket = 'low' then excess_avg end) is null then 'insufficient' when max(case when bucket = 'high' then excess_avg end) > max(case when bucket = 'low' then excess_avg end) + 0.005 then 'supported'
  when max(case when bucket = 'high' then excess_avg end) < max(case when bucket = 'low' then excess_avg end) - 0.005 then 'not_supported' else 'mixed' end as verdict from ({SPLIT}) q""", "excess_high excess_low")
 def _(c):
     return history.rate_verdict(history.rate_regime_split(_rated(c), 25.0, 26.0))

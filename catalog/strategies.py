@@ -36,7 +36,7 @@ def _(c):
 
 
 PICKS = f"""select s.ym, s.symbol, s.sector_name, cast(row_number() over (order by score desc nulls last, symbol) as int) as rank, score, mom_3m, close as entry_close, (select max(date) from eligible where ym = date '{{m}}') as entry_date,
- (select exposure from flags f where f.date <= (select max(date) from eligible where ym = date '{{m}}') order by f.date desc limit 1) as exposure from (select *, {RULE} as score from eligible where ym = date '{{m}}' window w as (partition by ym)) s order by score desc nulls last, symbol limit 5"""
+ (select exposure from flags f where f.date <= (select max(date) from eligible where ym = date '{{m}}') order by f.date desc limit 1) as exposure from (select *, {RULE} as score from eligible where ym = date '{{m}}' window w as (partition by ym)) s where (select count(*) from eligible where ym = date '{{m}}') >= 5 order by score desc nulls last, symbol limit 5"""
 
 
 @query("h3_rule_picks", f"select *, exposure >= 0.5 as risk_on from ({PICKS.format(m='1999-06-01')}) q", "score mom_3m entry_close exposure")
@@ -44,8 +44,7 @@ def _(c):
     return rules.picks_for(c.m.panel, c.m.market, "1999-06-01")
 
 
-# the last day with at least five percent of the symbols trading is not the last date,
-# so the mark uses prices up to the end of 2000, where several picks traded
+# the mark uses prices up to the end of 2000, as if the later ones were not known yet
 @query("h4_interim_performance", f"""with p as ({PICKS.format(m='1999-06-01')}), x as (select * from prices where date <= date '2000-12-29'), l as (select symbol, cumlog from x where date = (select max(date) from x)),
  z as (select p.*, exp(l.cumlog - e.cumlog) - 1 as ret from p left join prices e on e.symbol = p.symbol and e.date = p.entry_date left join l on l.symbol = p.symbol)
  select entry_date, (select max(date) from x) as as_of, exposure >= 0.5 as risk_on, count(ret) as legs, avg(ret) as basket_ret, case when exposure >= 0.5 then avg(ret) else 0.0 end as applied_ret, cast((select max(date) from x) - entry_date as int) as days_held from z group by entry_date, exposure""",

@@ -26,7 +26,8 @@ def _(c):
        "adv_20 adv_60 adv_120")
 def _(c):
     w = R.symbol_window()
-    return c.m.prices.select("symbol", "date", "adv_20", R.rolling_median("value", 60, 20, w).alias("adv_60"), R.rolling_median("value", 120, 40, w).alias("adv_120"))
+    frames = c.m.prices.select("symbol", "date", "adv_20", R.frame_values("value", 60, w).alias("v60"), R.frame_values("value", 120, w).alias("v120"))
+    return R.add_medians(frames, {"adv_60": ("v60", 20), "adv_120": ("v120", 40)})
 
 
 @query("e3_lagged_momentum", "select symbol, date, rev_1w, ret_20, mom_1m, ret_60, mom_3m, ret_120, mom_6m, mom_12m from features_daily",

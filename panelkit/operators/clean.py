@@ -37,9 +37,8 @@ def add_history(df: DataFrame) -> DataFrame:
     """Cumulative log return and 20-row median traded value per symbol, over one
     exchange and sort on (symbol, date)."""
     w = R.symbol_window()
-    return df.withColumns(
-        {"cumlog": R.running_sum("logr", w), "adv_20": R.rolling_median("value", 20, 5, w)}
-    )
+    df = df.withColumns({"cumlog": R.running_sum("logr", w), "_v20": R.frame_values("value", 20, w)})
+    return R.add_medians(df, {"adv_20": ("_v20", 5)})
 
 
 def price_panel(raw: DataFrame, sectors: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def symbol_features(prices: DataFrame, market: DataFrame) -> DataFrame:
             "amihud": R.rolling(F.avg, "_il", 20, 10, w),
             "is_month_end": R.is_last_of("ym", w),
             # the median of 120 values is taken from this frame on the sampled rows only
-            "_value120": F.collect_list("value").over(R.last_rows(w, 120)),
+            "_value120": R.frame_values("value", 120, w),
             **moments,
         }
     )
@@ -73,10 +73,10 @@ def symbol_features(prices: DataFrame, market: DataFrame) -> DataFrame:
     ).drop("_up", "_il", "_rm", "_mm", *moments)
 
 
-def adv_growth(values: str, min_periods: int) -> Column:
-    """Log of recent over long median traded value; the frame's array is sorted here."""
-    v = F.col(values)
-    return F.log1p("adv_20") - F.when(F.size(v) >= min_periods, F.log1p(R.median_of(v)))
+def add_adv_growth(df: DataFrame, frame: str, min_periods: int) -> DataFrame:
+    """Log of recent over long median traded value; the frame's array is used up."""
+    df = R.add_medians(df, {"_long": (frame, min_periods)})
+    return df.withColumn("adv_growth", F.log1p("adv_20") - F.log1p("_long")).drop("_long")
 
 
 def month_end_rows(df: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def feature_panel(
     market = market_index(prices, min_adv)
     context = market_momentum(market, 63, "mkt_mom_3m").select("date", "mkt_r", "mkt_mom_3m")
     daily = symbol_features(prices, context)
-    ends = daily.filter("is_month_end").withColumn("adv_growth", adv_growth("_value120", 40)).drop("_value120", "is_month_end")
+    ends = add_adv_growth(daily.filter("is_month_end").drop("is_month_end"), "_value120", 40)
 
     momentum = prices.select("date", "sector", R.trailing_return("cumlog", 63, R.symbol_window()).alias("_m3"))
     medians = group_median(momentum, ["date", "sector"], "_m3", "_sec3")
@@ -176,7 +176,7 @@ def surge_panel(prices: DataFrame, min_adv: float, surge: float = 0.40, horizon:
             "ret_20": R.trailing_return("cumlog", 20, w), "ret_60": ret60, "ret_120": R.trailing_return("cumlog", 120, w),
             "vol_20": R.rolling(F.stddev_samp, "r1", 20, 10, w),
             "dist_252h": R.distance_from_max("cumlog", 252, 60, w), "dist_20h": R.distance_from_max("cumlog", 20, 10, w),
-            "_value60": F.collect_list("value").over(R.last_rows(w, 60)), "_peak": F.exp(peak) / level - 1,
+            "_value60": R.frame_values("value", 60, w), "_peak": F.exp(peak) / level - 1,
         }
     ).withColumns(
         {
@@ -185,7 +185,8 @@ def surge_panel(prices: DataFrame, min_adv: float, surge: float = 0.40, horizon:
         }
     )
     # liquid rows only from here: the last liquid row of a month is the sample
-    ends = month_end_rows(df.filter(is_liquid(min_adv))).withColumn("adv_growth", adv_growth("_value60", 20)).drop("_value60", "_peak")
+    ends = month_end_rows(df.filter(is_liquid(min_adv))).drop("_peak")
+    ends = add_adv_growth(ends, "_value60", 20)
     medians = group_median(prices.select("date", "sector", ret60.alias("_r60")), ["date", "sector"], "_r60", "_med")
     ends = ends.join(M.calendar_broadcast(context), "date", "left").join(medians, ["date", "sector"], "left")
     ends = ends.withColumn("rel_ret_60", F.col("ret_60") - F.col("_med")).drop("_med")

@@ -47,7 +47,8 @@ def test_sign_agreement_ignores_zero(spark):
 
 def test_rolling_needs_minimum_of_non_null(spark):
     df = series(spark, [1.0, None, 3.0, 5.0])
-    out = column(df.withColumn("m", R.rolling_median("x", 3, 2, R.series_window())), "m")
+    framed = df.withColumn("v", R.frame_values("x", 3, R.series_window()))
+    out = column(R.add_medians(framed, {"m": ("v", 2)}), "m")
     assert out == [None, None, 2.0, 4.0]
 
 
