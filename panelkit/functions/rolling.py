@@ -76,8 +76,10 @@ def fill_forward(c: Column | str, w: WindowSpec) -> Column:
     return F.last(col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def fill_backward(c: Column | str, w: WindowSpec) -> Column:
-    return F.first(col(c), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def fill_backward(c: Column | str, newest_first: WindowSpec) -> Column:
+    """Next non-null value, over a window in descending order: frames that reach forward
+    to the end would be re-read for every row."""
+    return fill_forward(c, newest_first)
 
 
 def trailing_return(cumlog: Column | str, k: int, w: WindowSpec) -> Column:

@@ -18,10 +18,11 @@ def _lookup(points: DataFrame, steps: DataFrame, keys: list[str], value: str, fo
     latest = steps.filter(F.col(value).isNotNull()).groupBy(*keys, "date").agg(F.max(value).alias("_v"))
     asked = points.select(*keys, "date").distinct().withColumn("_ask", F.lit(True))
     both = latest.join(asked, [*keys, "date"], "full")
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("date")
-    found = R.fill_backward("_v", w) if forward else R.fill_forward("_v", w)
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    following = R.fill_backward("_v", group.orderBy(F.desc("date")))
+    found = following if forward else R.fill_forward("_v", group.orderBy("date"))
     if fill_early:
-        found = F.coalesce(found, R.fill_backward("_v", w))
+        found = F.coalesce(found, following)
     return both.withColumn(value, found).filter("_ask").select(*keys, "date", value)
 
 

@@ -38,9 +38,9 @@ def _add_offsets(df: DataFrame, placed: DataFrame, keys: list[str], value: str,
     """Adds the weight in, below and above each row's bucket of ``value``."""
     b = f"_b_{value}"
     counts = placed.groupBy(*keys, b).agg(F.sum(weight).alias("_in"))
-    w = Window.partitionBy(*keys).orderBy(b)
-    below = F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    above = F.sum("_in").over(w.rowsBetween(1, Window.unboundedFollowing))
+    w = Window.partitionBy(*keys)
+    below = F.sum("_in").over(w.orderBy(F.asc(b)).rowsBetween(Window.unboundedPreceding, -1))
+    above = F.sum("_in").over(w.orderBy(F.desc(b)).rowsBetween(Window.unboundedPreceding, -1))
     zero = F.lit(0).cast("long")
     table = counts.withColumns({"_below": F.coalesce(below, zero), "_above": F.coalesce(above, zero)})
     return df.join(table, [*keys, b])
