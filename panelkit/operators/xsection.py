@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import stats as S
+from panelkit.functions.scalar import tie_key
 from panelkit.operators import ranks
 from panelkit.operators.months import calendar_broadcast
 
@@ -43,12 +44,12 @@ def top_fraction(df: DataFrame, score: str, keys: list[str], frac: float, least:
     return ranked.withColumns({"is_top": F.col("rank_down") <= k, "is_bottom": F.col("rank_up") <= k}).drop("rank_up", "rank_down")
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, digits: int = 9) -> DataFrame:
+def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per group over complete rows, with group size and the number of
-    distinct x. Values are ranked at ``digits`` decimals so that equal values tie
-    whatever the summation order behind them."""
+    distinct x. Values are ranked by ``tie_key``, so that equal values tie whatever the
+    summation order behind them."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, F.round(x, digits).alias("_x"), F.round(y, digits).alias("_y")
+        *keys, tie_key(x).alias("_x"), tie_key(y).alias("_y")
     )
     ranked = ranks.averaged(pairs, keys, {"_x": "rx", "_y": "ry"})
     return ranked.groupBy(*keys).agg(
