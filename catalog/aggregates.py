@@ -245,16 +245,21 @@ def _(c):
     return X.base_rates(_surge(c), "surge")
 
 
+def rounded(df, *columns: str):
+    """Both engines rank values of 12 decimals: they add in different orders."""
+    return df.withColumns({x: F.round(F.col(x).cast("double"), 12) for x in columns})
+
+
 _FEATS = ", ".join(f"cast({f} as double) as {f}" for f in PANEL_FEATURES)
 LONG = f"(unpivot (select ym, symbol, fwd_1, {_FEATS} from eligible where fwd_1 is not null) on {', '.join(PANEL_FEATURES)} into name feature value v)"
 
 
-@query("d30_rank_ic", f"""with l as (select ym, feature, cast(round(v, 14) as float) as x, cast(round(fwd_1, 14) as float) as y from {LONG} u where v is not null),
+@query("d30_rank_ic", f"""with l as (select ym, feature, round(v, 12) as x, round(fwd_1, 12) as y from {LONG} u where v is not null),
  r as (select ym, feature, x, rank() over (partition by ym, feature order by x) + (count(*) over (partition by ym, feature, x) - 1) / 2.0 as rx, rank() over (partition by ym, feature order by y) + (count(*) over (partition by ym, feature, y) - 1) / 2.0 as ry from l),
  g as (select ym, feature, corr(rx, ry) as ic from r group by 1, 2 having count(*) >= 12 and count(distinct x) > 3 and var_pop(rx) > 0 and var_pop(ry) > 0)
  select feature, avg(ic) as mean_ic, avg(ic) / (stddev_pop(ic) + 1e-9) * sqrt(count(*)) as t, avg((ic > 0)::int) as hit, count(*) as n_months from g group by 1 having count(*) > 5""", "mean_ic t hit")
 def _(c):
-    return X.rank_ic(c.m.eligible, PANEL_FEATURES, "fwd_1")
+    return X.rank_ic(rounded(c.m.eligible, *PANEL_FEATURES, "fwd_1"), PANEL_FEATURES, "fwd_1")
 
 
 TOPF = "(select *, row_number() over (partition by ym order by fwd_1 desc, symbol) <= 5 as best from eligible where fwd_1 is not null)"
@@ -286,8 +291,8 @@ def _(c):
 
 
 def ic_sql(rel: str, score: str) -> str:
-    return f"""select h, ym, corr(rx, ry) as ic from (select h, ym, rank() over (partition by h, ym order by cast(round({score}, 14) as float)) + (count(*) over (partition by h, ym, cast(round({score}, 14) as float)) - 1) / 2.0 as rx,
- rank() over (partition by h, ym order by cast(round(fwd, 14) as float)) + (count(*) over (partition by h, ym, cast(round(fwd, 14) as float)) - 1) / 2.0 as ry from {rel} where fwd is not null and {score} is not null) q group by 1, 2"""
+    return f"""select h, ym, corr(rx, ry) as ic from (select h, ym, rank() over (partition by h, ym order by round({score}, 12)) + (count(*) over (partition by h, ym, round({score}, 12)) - 1) / 2.0 as rx,
+ rank() over (partition by h, ym order by round(fwd, 12)) + (count(*) over (partition by h, ym, round(fwd, 12)) - 1) / 2.0 as ry from {rel} where fwd is not null and {score} is not null) q group by 1, 2"""
 
 
 TILT_LONG = f"(select ym, symbol, fscore, h, case h when 1 then fwd_1 when 2 then fwd_2 else fwd_3 end as fwd from ({TILT_SQL}) q, (values (1),(2),(3)) v(h))"
@@ -305,7 +310,7 @@ def spaced(rel: str) -> str:
 
 def _tilt(c):
     scored = E.tilt_score(c.m.eligible.select("ym", "symbol", *fv.TILT_FACTORS, "fwd_1", "fwd_2", "fwd_3"))
-    return E.tilt_months(E.by_horizon(scored, (1, 2, 3), ["ym", "symbol", "fscore"]))
+    return E.tilt_months(rounded(E.by_horizon(scored, (1, 2, 3), ["ym", "symbol", "fscore"]), "fscore", "fwd"))
 
 
 @query("d33_factor_portfolio", f"""with recursive tm as materialized ({TILT_MONTHS}), {spaced('tm')},
@@ -345,7 +350,7 @@ def rule_scored(c):
 
 
 def rule_months(c):
-    return E.scored_months(rule_scored(c), skip_months=12)
+    return E.scored_months(rounded(rule_scored(c), "score", "fwd"), skip_months=12)
 
 
 @query("d34_scored_months", f"select cast(h as int) as H, ym, top, uni, bot, ic, prec, spread from ({SCORED_MONTHS}) q", "top uni bot ic prec spread")

@@ -7,7 +7,8 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from catalog.aggregates import KEYWORDS, RULE, RULE_LONG, TAGGED, _FEATS, rule_months, tagged
+from catalog.aggregates import KEYWORDS, NOT_NULL, RULE, RULE_LONG, TAGGED, _FEATS, rule_months, tagged
+from catalog.joins import FOLD_ROWS
 from catalog.registry import MIN_ADV, query
 from panelkit.functions import fixed_values as fv
 from panelkit.operators import xsection as X
@@ -72,46 +73,101 @@ def _(c):
     return rules.live_summary(c.m.panel, c.m.prices, c.m.market)
 
 
-FAST = partial(models.regressor, depth=3, rounds=5, leaf=20)
+#: The registered queries fit few rounds (the library's default is 300); this is the only
+#: saving, all folds, horizons and rows take part.
+ROUNDS = 3
+FAST = partial(models.regressor, depth=3, rounds=ROUNDS, leaf=20)
+HORIZONS = (1, 2, 3)
+
+
+def _once(c, name: str, build):
+    """Fits that several queries of a context report on are made once."""
+    if name not in c.__dict__:
+        c.__dict__[name] = build()
+    return c.__dict__[name]
+
+
+def walk(c):
+    return _once(c, "walk", lambda: models.walk_forward(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, FAST, 30, 300, 10))
+
+
+def sector_walk(c):
+    make = partial(models.regressor, depth=3, rounds=ROUNDS, leaf=15)
+    return _once(c, "sector_walk", lambda: models.walk_forward(c.m.sector_panel, fv.SECTOR_FEATURES, HORIZONS, make, 24, 120, 8, carry=("sector",)))
+
+
+def folds_sql(rows: str, min_months: int, min_train: int, min_test: int, k: int) -> str:
+    """Every fold of every horizon from rows (m, fwd_1, fwd_2, fwd_3) in SQL."""
+    each = " union all ".join(
+        f"""select {h} as H, cast(f.m as int) as fold, (select count(*) from p where p.m <= f.m - {h} and fwd_{h} is not null) as n_train, (select count(*) from p where p.m = f.m) as n_test,
+ cast((select max(m) from p where p.m <= f.m - {h} and fwd_{h} is not null) as int) as last_train, (select count(*) from p where p.m = f.m) as n_scored, (select avg(fwd_{h}) from p where p.m = f.m) as universe, i from f"""
+        for h in HORIZONS
+    )
+    return f"""with p as materialized ({rows}), f as (select m, dense_rank() over (order by m) as i from (select distinct m from p) q), a as ({each})
+ select * exclude (i), least(n_test, {k}) as n_picks from a where i > {min_months} and n_train >= {min_train} and n_test >= {min_test}"""
 
 
 @query("h7_time_split_classifier")
 def _(c):
     panel = panels.surge_panel(c.m.prices, MIN_ADV, 0.25)
-    _, scored = models.time_split_classifier(panel, fv.SURGE_FEATURES, "surge", "1999-07-01", models.classifier("surge", 3, 5, 20))
+    _, scored = models.time_split_classifier(panel, fv.SURGE_FEATURES, "surge", "1999-07-01", models.classifier("surge", 3, ROUNDS, 20))
     return models.classifier_report(scored, "surge")
 
 
+@query("h7_decile_sizes", f"""with s as (select * from surge_panel where date >= date '1999-07-01' and {' and '.join(f + ' is not null' for f in fv.SURGE_FEATURES)} and surge is not null), r as (select row_number() over () as k, count(*) over () as n, avg(surge) over () as base_rate from s)
+ select cast(greatest(0, ceil((k - 1) * 10 / (n - 1)::double) - 1) as int) as decile, count(*) as n, any_value(base_rate) as base_rate from r group by 1""", "base_rate")
+def _(c):
+    panel = panels.surge_panel(c.m.prices, MIN_ADV, 0.25)
+    _, scored = models.time_split_classifier(panel, fv.SURGE_FEATURES, "surge", "1999-07-01", models.classifier("surge", 3, ROUNDS, 20))
+    return models.classifier_report(scored, "surge").select("decile", "n", "base_rate")
+
+
+@query("h8_walk_forward_folds", folds_sql(FOLD_ROWS, 30, 300, 10, 5), "universe")
+def _(c):
+    return models.fold_report(*walk(c), k=5)
+
+
 @query("h8_walk_forward")
 def _(c):
-    scored = models.walk_forward(c.m.eligible, fv.PANEL_FEATURES, "fwd_1", 1, FAST, min_months=12, min_train=100, min_test=5, stride=6)
-    return E.score_summary(E.scored_months(scored, k=5, min_extra=0))
+    return E.score_summary(E.scored_months(walk(c)[0], k=5))
 
 
 @query("h8_sector_walk_forward")
 def _(c):
-    make = partial(models.regressor, depth=3, rounds=5, leaf=15)
-    scored = models.walk_forward(c.m.sector_panel, fv.SECTOR_FEATURES, "fwd_1", 1, make, 24, 120, 8, stride=6, carry=("sector",))
-    return E.rotation_summary(E.scored_months(scored.withColumnRenamed("sector", "symbol"), k=3), c.m.macro)
+    scored = sector_walk(c)[0].withColumnRenamed("sector", "symbol")
+    return E.rotation_summary(E.scored_months(scored, k=3), c.m.macro)
+
+
+@query("h9_shuffled_copies", f"""with l as (select *, year(ym)*12+month(ym) as m from eligible where fwd_1 is not null), cut as (select min(m) as m from (select distinct m from l order by m desc limit 18) q),
+ t as (select * from l where m >= (select m from cut) and {NOT_NULL})
+ select feature, cast(rep as int) as rep, count(*) as n from t, (values {", ".join(f"('{f}')" for f in fv.PANEL_FEATURES)}) f(feature), (select unnest(range(5)) as rep) r group by 1, 2""")
+def _(c):
+    _, test = models.embargoed_split(c.m.eligible, "fwd_1", 1)
+    copies = models.shuffled_copies(test.dropna(subset=[*fv.PANEL_FEATURES, "fwd_1"]), fv.PANEL_FEATURES, 5, ["ym", "symbol"])
+    return copies.groupBy("feature", "rep").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("h9_permutation_importance")
 def _(c):
     train, test = models.embargoed_split(c.m.eligible, "fwd_1", 1)
     model = FAST("fwd_1").fit(models.assembled(train, fv.PANEL_FEATURES, "fwd_1"))
-    return models.permutation_importance(model, test, fv.PANEL_FEATURES, "fwd_1", 2, ["ym", "symbol"])
+    return models.permutation_importance(model, test, fv.PANEL_FEATURES, "fwd_1", 5, ["ym", "symbol"])
+
+
+#: The last month of the tables with full candidates; later ones hold a few late lines.
+PICK_MONTH = "2001-06-01"
 
 
 @query("h10_current_picks")
 def _(c):
-    return models.current_picks(c.m.eligible.filter("ym <= '2001-06-01'"), fv.PANEL_FEATURES, (1, 2, 3), FAST, 5)
+    return models.current_picks(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, FAST, 5, ym=F.lit(PICK_MONTH).cast("date"))
 
 
 @query("h10_current_screen")
 def _(c):
     panel = panels.surge_panel(c.m.prices, MIN_ADV, 0.25, require_label=False)
     labelled = panel.filter("surge is not null")
-    model, _ = models.time_split_classifier(labelled, fv.SURGE_FEATURES, "surge", "1999-07-01", models.classifier("surge", 3, 5, 20))
+    model, _ = models.time_split_classifier(labelled, fv.SURGE_FEATURES, "surge", "1999-07-01", models.classifier("surge", 3, ROUNDS, 20))
     latest = panel.filter(F.col("ym") == panel.select(F.max("ym")).scalar())
     scored = models.probability(model.transform(models.assembled(latest, fv.SURGE_FEATURES, None)))
     return X.top_k(scored, "score", 15, ["ym"]).select("ym", "symbol", "sector_name", "rank", "score", "ret_60", "dist_252h")
@@ -119,7 +175,7 @@ def _(c):
 
 @query("h10_model_picks_live")
 def _(c):
-    picks = models.current_picks(c.m.eligible.filter("ym <= '2001-06-01'"), fv.PANEL_FEATURES, (1, 2, 3), FAST, 5)
+    picks = models.current_picks(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, FAST, 5, ym=F.lit(PICK_MONTH).cast("date"))
     entry = c.m.eligible.select("ym", "symbol", F.col("date").alias("entry_date"))
     return rules.mark_to_latest(picks.join(entry, ["ym", "symbol"]), c.m.prices, keep_unmarked=True)
 

@@ -321,8 +321,8 @@ def _(c):
 def _(c):
     first = c.m.panel.select(F.add_months(F.min("ym"), 18)).scalar()
     month = c.m.panel.filter(F.col("ym") == first)
-    big = month.select(F.count("symbol")).scalar()
-    return X.top_k(month, "mom_12m", 1_000_000_000, ["ym"]).filter(F.col("rank") <= big).select("symbol", "sector_name", "mom_12m", F.col("rank").alias("position"))
+    placed = ranks.prefix_sums(month.select("symbol", "sector_name", "mom_12m"), [], [F.desc_nulls_last("mom_12m"), F.asc("symbol")], "places", position=F.lit(1).cast("long"))
+    return placed.withColumn("position", (F.col("position") + 1).cast("int"))
 
 
 @query("f4_sorted_report", "select symbol, mom_12m, vol_3m from panel where ym = (select max(ym) from panel) order by vol_3m asc nulls last, symbol", "mom_12m vol_3m")

@@ -110,12 +110,6 @@ def month_index(date: Column | str) -> Column:
     return F.year(d) * 12 + F.month(d)
 
 
-def tie_key(c: Column | str) -> Column:
-    """Value for ranking: single precision, with noise around zero removed. Values that
-    differ by summation order only become equal at any magnitude."""
-    return F.round(col(c), 14).cast("float").cast("double")
-
-
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round the double columns of a report table; other columns are untouched.
 

@@ -41,9 +41,15 @@ def compound(log_returns: Column | str) -> Column:
     return F.expm1(F.sum(col(log_returns)))
 
 
+def growth(ret: Column | str) -> Column:
+    """1 + return, and 0 after a total loss or more."""
+    r = col(ret)
+    return F.when(r > -1, 1 + r).when(r.isNotNull(), F.lit(0.0))
+
+
 def multiple(ret: Column | str) -> Column:
-    """Growth of 1 over all returns of a group."""
-    return F.exp(F.sum(F.log1p(col(ret))))
+    """Growth of 1 over all returns of a group; null for a group without returns."""
+    return F.when(F.count(col(ret)) > 0, F.product(growth(ret)))
 
 
 def share_true(cond: Column) -> Column:

@@ -1,11 +1,11 @@
 """Exact ranks of large groups without sorting a group in one task.
 
-A month of a wide market, or the whole sample, is one rank group. It is cut into value
-buckets by a monotone function of the value and the group's minimum and maximum; both
-are independent of row order, so every pass and every retry sees the same buckets. Rows
-are ranked inside their bucket and shifted by the counts of lower buckets, a table of at
-most groups x buckets rows. Ranks inside a bucket are streaming, so many tied rows do
-not accumulate in memory.
+A month of a wide market, or the whole sample, is one rank group. Equal values are counted
+first, by a group-by that combines map-side, so a value shared by very many rows is one
+row. The distinct values are then range-partitioned by (group, value), with borders that
+Spark samples from the data: a group spreads over as many tasks as its size needs,
+whatever its values look like. Running counts inside a partition are shifted by the counts
+of the partitions before, a table of one row per partition and group that meets there.
 """
 
 from __future__ import annotations
@@ -13,77 +13,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from panelkit.session import materialize
 
 
-def _scale(x: Column) -> Column:
-    # close to a logarithm on both sides of zero: outliers do not empty the buckets
-    return F.asinh(x * 1e6)
-
-
-def _bucketed(df: DataFrame, keys: list[str], values: list[str], buckets: int) -> DataFrame:
-    """Adds ``_b_<value>`` for each value. Bounds have one row per group, and groups are
-    months, horizons and features."""
-    bounds = df.groupBy(*keys).agg(*[f(v).alias(f"_{n}_{v}") for v in values for n, f in (("lo", F.min), ("hi", F.max))])
-
-    def place(v: str) -> Column:
-        x, lo, hi = (_scale(F.col(c)) for c in (v, f"_lo_{v}", f"_hi_{v}"))
-        return F.coalesce(F.floor(F.try_divide(x - lo, hi - lo) * (buckets - 1)).cast("int"), F.lit(0))
-
-    placed = df.join(F.broadcast(bounds), keys).withColumns({f"_b_{v}": place(v) for v in values})
-    return placed.drop(*[f"_{n}_{v}" for v in values for n in ("lo", "hi")])
-
-
-def _add_offsets(df: DataFrame, placed: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
-    """Adds the weight in, below and above each row's bucket of ``value``."""
-    b = f"_b_{value}"
-    counts = placed.groupBy(*keys, b).agg(F.sum(weight).alias("_in"))
-    w = Window.partitionBy(*keys)
-    below = F.sum("_in").over(w.orderBy(F.asc(b)).rowsBetween(Window.unboundedPreceding, -1))
-    above = F.sum("_in").over(w.orderBy(F.desc(b)).rowsBetween(Window.unboundedPreceding, -1))
+def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], purpose: str, **values: Column) -> DataFrame:
+    """``df`` with, for every named value, its sum over the group's rows before in
+    ``order``, which must be unique within a group. The partitions are written once, so
+    that every pass and every retry sees the same ones."""
+    sort = [*[F.col(k) for k in keys], *order]
+    parts = materialize(df.withColumns(values).repartitionByRange(*sort).withColumn("_part", F.spark_partition_id()), purpose)
     zero = F.lit(0).cast("long")
-    table = counts.withColumns({"_below": F.coalesce(below, zero), "_above": F.coalesce(above, zero)})
-    return df.join(table, [*keys, b])
-
-
-def averaged(df: DataFrame, keys: list[str], outputs: dict[str, str], buckets: int = BUCKETS) -> DataFrame:
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_part", *keys).agg(*[F.sum(n).alias(f"_s_{n}") for n in values])
+    starts = totals.select("_part", *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.coalesce(F.sum(f"_s_{n}").over(earlier), zero).alias(f"_s_{n}") for n in values])
+    same = F.col("_part") == F.col("_part0")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = parts.withColumns({n: F.coalesce(F.sum(n).over(inside), zero) for n in values})
+    joined = summed.join(starts.withColumnRenamed("_part", "_part0"), same)
+    return joined.withColumns({n: F.col(n) + F.col(f"_s_{n}") for n in values}).drop("_part", "_part0", *[f"_k_{k}" for k in keys], *[f"_s_{n}" for n in values])
+
+
+def averaged(df: DataFrame, keys: list[str], outputs: dict[str, str]) -> DataFrame:
     """Adds, per value column, the rank of its non-null values within the group with
-    ties averaged (the mean of the rank from below and the mirrored rank from above),
-    and ``<output>_ties``, the number of rows that share the value."""
-    placed = _bucketed(df, keys, list(outputs), buckets)
-    out = placed
+    ties averaged, and ``<output>_ties``, the number of rows that share the value."""
+    out = df
     for v, name in outputs.items():
-        w = Window.partitionBy(*keys, f"_b_{v}")
-        out = _add_offsets(out, placed, keys, v, F.lit(1)).withColumns(
-            {"_up": F.rank().over(w.orderBy(F.asc(v))), "_down": F.rank().over(w.orderBy(F.desc(v)))}
-        )
-        inside = F.col("_in")
-        out = out.withColumns(
-            {
-                name: F.col("_below") + (F.col("_up") + inside + 1 - F.col("_down")) / 2,
-                f"{name}_ties": inside + 2 - F.col("_up") - F.col("_down"),
-            }
-        ).drop(f"_b_{v}", "_in", "_below", "_above", "_up", "_down")
+        counted = df.filter(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count(F.lit(1)).alias(f"{name}_ties"))
+        placed = prefix_sums(counted, keys, [F.col(v)], "ranks", **{name: F.col(f"{name}_ties")})
+        placed = placed.withColumn(name, F.col(name) + (F.col(f"{name}_ties") + 1) / 2)
+        out = out.join(placed, [*keys, v])
     return out
 
 
-def first_come(df: DataFrame, keys: list[str], value: str, tie: str, buckets: int = BUCKETS) -> DataFrame:
+def first_come(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """Adds ``rank_up`` and ``rank_down``: row numbers by ascending and by descending
     value, ties in the order of ``tie`` both ways."""
-    b = f"_b_{value}"
-    placed = _bucketed(df, keys, [value], buckets)
-    ready = _add_offsets(placed, placed, keys, value, F.lit(1))
-    w = Window.partitionBy(*keys, b)
-    up = F.row_number().over(w.orderBy(F.asc(value), tie)) + F.col("_below")
-    down = F.row_number().over(w.orderBy(F.desc(value), tie)) + F.col("_above")
-    return ready.withColumns({"rank_up": up, "rank_down": down}).drop(b, "_in", "_below", "_above")
-
-
-def rows_before(counted: DataFrame, value: str, then: tuple[str, ...], weight: str, out: str, buckets: int = 4096) -> DataFrame:
+    one = F.lit(1).cast("long")
+    up = prefix_sums(df, keys, [F.asc(value), F.asc(tie)], "first-come", rank_up=one)
+    # numbered from above: the rows of greater values, then the place among equal ones
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    above = prefix_sums(counted, keys, [F.desc(value)], "first-come-above", _above=F.col("_n"))
+    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    ready = up.join(above, [*keys, value]).join(sizes, keys)
+    under = F.col("_size") - F.col("_above") - F.col("_n")
+    return ready.withColumns({"rank_down": F.col("_above") + F.col("rank_up") - under + 1, "rank_up": F.col("rank_up") + 1}).drop("_n", "_above", "_size")
+
+
+def rows_before(counted: DataFrame, value: str, then: tuple[str, ...], weight: str, out: str) -> DataFrame:
     """For pre-counted distinct (value, *then): how many rows come before each."""
-    b = f"_b_{value}"
-    placed = _bucketed(counted.withColumn("_g", F.lit(0)), ["_g"], [value], buckets)
-    ready = _add_offsets(placed, placed, ["_g"], value, F.col(weight))
-    w = Window.partitionBy("_g", b).orderBy(value, *then).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum(weight).over(w), F.lit(0).cast("long"))
-    return ready.withColumn(out, F.col("_below") + inside).drop("_g", b, "_in", "_below", "_above")
+    return prefix_sums(counted, [], [F.col(value), *[F.col(c) for c in then]], "rows-before", **{out: F.col(weight)})

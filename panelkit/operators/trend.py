@@ -21,7 +21,9 @@ from panelkit.functions.scalar import annual_to_daily, clip
 def add_level(market: DataFrame, ret: str = "mkt_r", out: str = "level") -> DataFrame:
     """Growth of 1, as a running product through logs; ``loglevel`` is kept beside it."""
     w = R.series_window()
-    return market.withColumn("loglevel", R.running_sum(F.log1p(ret), w)).withColumn(out, F.exp("loglevel"))
+    lost = R.running_max((F.col(ret) <= -1).cast("int"), w)
+    df = market.withColumn("loglevel", R.running_sum(F.log1p(ret), w))
+    return df.withColumn(out, F.when(lost == 1, 0.0).otherwise(F.exp("loglevel")))
 
 
 def market_momentum(market: DataFrame, rows: int, out: str) -> DataFrame:
@@ -97,10 +99,10 @@ def hierarchy_variants(
 ) -> DataFrame:
     """(date, strategy, ret): buy and hold, timed, and timed with leverage, where cash
     earns and borrowing costs the policy rate. ``rates`` has (date, rate)."""
-    from panelkit.operators.asof import backward_asof
+    from panelkit.operators.asof import backward_asof, rate_order
 
     w = R.series_window()
-    df = backward_asof(trend_flags(market), rates, "rate", fill_early=True)
+    df = backward_asof(trend_flags(market), rates, "rate", fill_early=True, order=rate_order(rates))
     df = df.withColumn("_fin", annual_to_daily(F.col("rate") / 100, ppy))
     df = df.withColumn("_pos1", _position(F.col("exposure"), w))
     df = df.withColumn("_posL", F.col("_pos1") * leverage)
@@ -118,10 +120,11 @@ def _long(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def drawdowns(returns: DataFrame, keys: list[str], order: str = "date", ret: str = "ret") -> DataFrame:
-    """Adds equity (growth of 1) and its drawdown from the running maximum."""
+    """Adds equity (growth of 1, 0 from a total loss on) and its drawdown from the running maximum."""
     w = Window.partitionBy(*keys).orderBy(order)
-    df = returns.withColumn("equity", F.exp(R.running_sum(F.log1p(ret), w)))
-    return df.withColumn("drawdown", F.col("equity") / R.running_max("equity", w) - 1)
+    lost = R.running_max((F.col(ret) <= -1).cast("int"), w)
+    df = returns.withColumn("equity", F.when(lost == 1, 0.0).otherwise(F.exp(R.running_sum(F.log1p(ret), w))))
+    return df.withColumn("drawdown", F.coalesce(F.try_divide("equity", R.running_max("equity", w)) - 1, F.when(F.col("equity") == 0, -1.0)))
 
 
 def perf_stats(returns: DataFrame, keys: list[str], ppy: int = fv.DAYS_PER_YEAR) -> DataFrame:
@@ -163,10 +166,10 @@ def by_period(returns: DataFrame, split: str) -> DataFrame:
 def subperiod_report(market: DataFrame, rates: DataFrame, split: str, leverage: float = 1.5) -> DataFrame:
     """Performance of the three variants by period, with the average policy rate over
     the sample and the current signal on each row."""
-    from panelkit.operators.asof import backward_asof
+    from panelkit.operators.asof import backward_asof, rate_order
 
     perf = perf_stats(by_period(hierarchy_variants(market, rates, leverage), split), ["period", "strategy"])
-    avg_rate = backward_asof(market, rates, "rate", fill_early=True).select(F.avg("rate")).scalar()
+    avg_rate = backward_asof(market, rates, "rate", fill_early=True, order=rate_order(rates)).select(F.avg("rate")).scalar()
     signal = timing_regime(market).select("signal").scalar()
     return perf.withColumns({"avg_policy_rate": avg_rate, "current_signal": signal})
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import stats as S
-from panelkit.functions.scalar import tie_key
 from panelkit.operators import ranks
 from panelkit.operators.months import calendar_broadcast
 
@@ -46,10 +45,10 @@ def top_fraction(df: DataFrame, score: str, keys: list[str], frac: float, least:
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per group over complete rows, with group size and the number of
-    distinct x. Values are ranked by ``tie_key``, so that equal values tie whatever the
-    summation order behind them."""
+    distinct x. Doubles are ranked as they are; a caller that wants sums of different
+    order to tie rounds them first."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, tie_key(x).alias("_x"), tie_key(y).alias("_y")
+        *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
     ranked = ranks.averaged(pairs, keys, {"_x": "rx", "_y": "ry"})
     return ranked.groupBy(*keys).agg(
@@ -62,7 +61,11 @@ def rank_ic(panel: DataFrame, features: list[str], label: str, min_rows: int = 1
     """Monthly rank correlation of every feature with the label, summarised: mean, t
     (population deviation), share of positive months, months."""
     wide = panel.filter(F.col(label).isNotNull()).select("ym", label, *[F.col(f).cast("double") for f in features])
-    long = wide.unpivot(["ym", label], features, "feature", "value")
+    # month-wide constants go before any rank is taken: minimum equals maximum
+    long = wide.unpivot(["ym", label], features, "feature", "value").filter("value is not null")
+    varied = long.groupBy("ym", "feature").agg(F.count("value").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    varied = varied.filter((F.col("_n") >= min_rows) & (F.col("_lo") < F.col("_hi"))).select("ym", "feature")
+    long = long.join(varied, ["ym", "feature"], "left_semi")
     monthly = spearman(long, ["ym", "feature"], "value", label).filter(
         (F.col("n") >= min_rows) & (F.col("n_distinct") > 3) & F.col("ic").isNotNull()
     )

@@ -59,7 +59,7 @@ def annualised(ret: Column, h: Column) -> Column:
 
 
 def mean_log_annual(ret: Column, h: Column) -> Column:
-    return F.expm1(F.avg(F.log1p(ret)) * 12 / F.first(h))
+    return annualised(ret, h)
 
 
 def tilt_summary(months: DataFrame, cost: float = fv.COST_PICKS) -> DataFrame:
@@ -225,6 +225,7 @@ def rotation_summary(months: DataFrame, macro: DataFrame, cost: float = fv.COST_
     )
     held = rebalance_months(m).select("H", "ym", F.explode(legs).alias("l")).select("H", "ym", "l.*")
     perf = period_perf(held, ["H", "leg"], 12 / F.col("H"), min_periods=1)
+    perf = perf.withColumn("sharpe", F.when(F.col("n") >= 3, F.col("sharpe")))
     wide = perf.groupBy("H").pivot("leg", ["top", "uni"]).agg(F.first("cagr").alias("cagr_net"), F.first("sharpe").alias("sharpe_net"))
     usable = (F.col("ic_t") >= 2) & (F.col("spread_t") >= 1.5) & (F.col("spread") > 0.005)
     return base.join(wide, "H", "left").withColumn("reliable", usable)

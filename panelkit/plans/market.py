@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelkit.functions import fixed_values as fv
 from panelkit.operators import baskets, clean, months, mood
-from panelkit.operators.asof import backward_asof
+from panelkit.operators.asof import backward_asof, rate_order
 from panelkit.operators.dims import operating_names
 from panelkit.plans import panels, views
 from panelkit.session import bucket_count, materialize
@@ -23,7 +23,8 @@ class Market:
     written once to the shared folder and read back: plans stay short, nothing is
     recomputed, and executors may come and go. ``prices`` is bucketed by symbol, so the
     per-symbol windows of all analyses need no exchange. A panel that already exists as
-    a table is passed as ``clean_prices``.
+    a table is passed as ``clean_prices``. ``buckets`` should give parts of a few hundred
+    MB, because a bucket is not split; the default is the session's number of shuffle parts.
     """
 
     raw: DataFrame
@@ -34,6 +35,7 @@ class Market:
     min_adv: float = fv.FLOOR_INDEX
     start: str | None = fv.DEFAULT_START
     clean_prices: DataFrame | None = None
+    buckets: int | None = None
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -42,8 +44,8 @@ class Market:
         return self._write_prices()
 
     def _write_prices(self) -> DataFrame:
-        buckets = bucket_count(self.raw.sparkSession)
-        return materialize(clean.price_panel(self.raw, self.sectors, buckets), "prices", "symbol", ("date",))
+        buckets = self.buckets or bucket_count(self.raw.sparkSession)
+        return materialize(clean.price_panel(self.raw, self.sectors, buckets), "prices", "symbol", ("date",), buckets)
 
     @cached_property
     def market(self) -> DataFrame:
@@ -68,7 +70,7 @@ class Market:
     @cached_property
     def macro(self) -> DataFrame:
         """Macro months with the policy rate in force at each month end."""
-        joined = backward_asof(self.macro_rows, self.rates, "rate")
+        joined = backward_asof(self.macro_rows, self.rates, "rate", order=rate_order(self.rates))
         return materialize(joined.withColumnRenamed("rate", "policy_rate"), "macro")
 
     @cached_property

@@ -1,20 +1,24 @@
 """Fitted rankings with MLlib: classifier split, walk-forward, importance, screens.
 
-Fits are distributed and read one written panel. The driver only loops over folds (one
-per month); scores of each fold are appended to a table in the shared folder, so lineage
-does not grow and finished folds survive the loss of executors.
+Fits are distributed and read one written panel. The driver only lists folds (one per
+month and horizon); every fold writes its scores to its own part of a shared folder, so
+lineage does not grow and finished folds survive the loss of executors. The number of
+boosting rounds is a setting of the learner; folds, horizons and rows are never thinned.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import month_index
@@ -31,11 +35,11 @@ def assembled(df: DataFrame, features: list[str], label: str | None) -> DataFram
     return VectorAssembler(inputCols=features, outputCol="features").transform(clean)
 
 
-def regressor(label: str, depth: int = 4, rounds: int = 20, leaf: int = 60) -> GBTRegressor:
+def regressor(label: str, depth: int = 4, rounds: int = 300, leaf: int = 60) -> GBTRegressor:
     return GBTRegressor(labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=0.05, minInstancesPerNode=leaf, seed=42)
 
 
-def classifier(label: str, depth: int = 4, rounds: int = 20, leaf: int = 120) -> GBTClassifier:
+def classifier(label: str, depth: int = 4, rounds: int = 250, leaf: int = 120) -> GBTClassifier:
     return GBTClassifier(labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=0.05, minInstancesPerNode=leaf, seed=42)
 
 
@@ -58,54 +62,77 @@ def classifier_report(scored: DataFrame, label: str) -> DataFrame:
     return X.decile_lift(scored, "score", label).withColumns({"auc": area, "base_rate": base})
 
 
+def fold_sizes(panel: DataFrame, features: list[str], horizons: tuple[int, ...], min_months: int, min_train: int, min_test: int) -> DataFrame:
+    """(H, fold, n_train, n_test, last_train) of all folds of all horizons, over rows with
+    complete features."""
+    complete = panel.dropna(subset=features)
+    each = [purged_folds(complete, f"fwd_{h}", h, min_months, min_train, min_test).select(F.lit(h).alias("H"), "*") for h in horizons]
+    return reduce(DataFrame.unionByName, each)
+
+
 def walk_forward(
-    panel: DataFrame, features: list[str], label: str, h: int, make: Callable[[str], Estimator], min_months: int,
-    min_train: int, min_test: int, stride: int = 1, carry: tuple[str, ...] = ("symbol",),
-) -> DataFrame:
-    """(ym, *carry, score, H, fwd): every fold month scored by a model fitted on labels
-    realised before it. ``stride`` refits every that many folds; the folds between use
-    the latest earlier model, which has seen less, never more."""
-    df = materialize(panel.dropna(subset=features).select("ym", *carry, *features, label), "train")
-    df = assembled(df, features, None).withColumn("_m", month_index("ym"))
-    # one row per month: the loop's list is bounded by the calendar
-    months = [r["fold"] for r in purged_folds(df, label, h, min_months, min_train, min_test).orderBy("fold").collect()]
-    path = shared_dir(df.sparkSession, "walk-forward")
-    for i in range(0, len(months), stride):
-        block = months[i : i + stride]
-        train = df.filter((F.col("_m") <= block[0] - h) & F.col(label).isNotNull())
-        model = make(label).fit(train)
-        test = df.filter((F.col("_m") >= block[0]) & (F.col("_m") <= block[-1]))
-        out = model.transform(test).select("ym", *carry, F.col("prediction").alias("score"), F.lit(h).alias("H"), F.col(label).alias("fwd"))
-        out.write.mode("append").parquet(path)
-    schema = df.select("ym", *carry, F.lit(0.0).alias("score"), F.lit(h).alias("H"), F.col(label).alias("fwd")).schema
-    return df.sparkSession.read.schema(schema).parquet(path) if months else df.sparkSession.createDataFrame([], schema)
-
-
-def shuffled_copies(df: DataFrame, features: list[str], repeats: int, row_key: list[str], rows_per_bucket: int = 100_000) -> DataFrame:
+    panel: DataFrame, features: list[str], horizons: tuple[int, ...], make: Callable[[str], Estimator], min_months: int,
+    min_train: int, min_test: int, carry: tuple[str, ...] = ("symbol",), side_by_side: int = 4,
+) -> tuple[DataFrame, DataFrame]:
+    """(scored, folds). ``scored`` has (H, fold, ym, *carry, score, fwd): every fold month
+    of every horizon scored by a model fitted on the labels realised before it. Rows with
+    a missing feature take no part, as ``folds`` counts them.
+
+    Folds do not depend on each other, so a few are submitted at a time; each writes its
+    own folder. The training table is laid out by month, so a fold reads its months only.
+    """
+    spark = panel.sparkSession
+    labels = [f"fwd_{h}" for h in horizons]
+    folds = materialize(fold_sizes(panel, features, horizons, min_months, min_train, min_test), "folds")
+    table, out = shared_dir(spark, "train"), shared_dir(spark, "walk-forward")
+    rows = assembled(panel.select("ym", *carry, *features, *labels), features, None).select("ym", *carry, "features", *labels)
+    rows.write.partitionBy("ym").parquet(table)
+    df = spark.read.schema(rows.schema).parquet(table)
+
+    def run(fold: Row) -> None:
+        h, label = fold["H"], f"fwd_{fold['H']}"
+        month = lambda m: F.lit(f"{(m - 1) // 12:04d}-{(m - 1) % 12 + 1:02d}-01").cast("date")
+        model = make(label).fit(df.filter((F.col("ym") <= month(fold["fold"] - h)) & F.col(label).isNotNull()))
+        scored = model.transform(df.filter(F.col("ym") == month(fold["fold"])))
+        scored.select("ym", *carry, F.col("prediction").alias("score"), F.col(label).alias("fwd")).write.parquet(os.path.join(out, f"H={h}", f"fold={fold['fold']}"))
+
+    # one row per month and horizon: the list is bounded by the calendar
+    todo = folds.orderBy("H", "fold").collect()
+    with ThreadPool(side_by_side) as pool:
+        pool.map(run, todo)
+    schema = df.select("ym", *carry, F.lit(0.0).alias("score"), F.col(labels[0]).alias("fwd"), F.lit(0).alias("H"), F.lit(0).alias("fold")).schema
+    return (spark.read.schema(schema).parquet(out) if todo else spark.createDataFrame([], schema)), folds
+
+
+def fold_report(scored: DataFrame, folds: DataFrame, k: int, name: str = "symbol") -> DataFrame:
+    """One row per horizon and fold: sizes, rows scored, mean outcome, number of picks."""
+    picks = X.top_k(scored, "score", k, ["H", "fold"], tie=name).groupBy("H", "fold").agg(F.count(F.lit(1)).alias("n_picks"))
+    rows = scored.groupBy("H", "fold").agg(F.count("score").alias("n_scored"), F.avg("fwd").alias("universe"))
+    return folds.join(rows, ["H", "fold"]).join(picks, ["H", "fold"])
+
+
+def shuffled_copies(df: DataFrame, features: list[str], repeats: int, row_key: list[str], parts: int = 256) -> DataFrame:
     """Copies of the rows, one per (feature, repeat), with that feature permuted.
 
-    Rows fall into random buckets by a seeded hash of their key; inside each bucket the
-    feature moves between two seeded orders, joined on (copy, bucket, position). Nothing
-    is ordered globally, and a retry draws the same permutation.
+    For each repeat the rows stand in one seeded random circle, and a shuffled value is
+    the next row's. The circle is cut into ``parts`` by a hash; the last row of a part
+    takes the first of the next one. Only rows x repeats are shuffled; the copies per
+    feature are made afterwards. A retry draws the same circle.
     """
-    buckets = F.greatest(F.lit(1), F.ceil(df.select(F.count(F.lit(1))).scalar() / rows_per_bucket))
-    copies = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep")) for f in features for r in range(repeats)]))
-    base = df.withColumn("_c", copies).select("*", "_c.feature", "_c.rep").drop("_c")
     key = [F.col(k) for k in row_key]
-
-    def draw(salt: int) -> Column:
-        return F.xxhash64(*key, F.col("feature"), F.col("rep"), F.lit(salt))
-
-    base = base.withColumn("_b", F.pmod(draw(0), buckets))
-    group = ["feature", "rep", "_b"]
-    w = Window.partitionBy(*group)
-    moved = F.when(F.lit(False), F.lit(None).cast("double"))
-    for f in features:
-        moved = moved.when(F.col("feature") == f, F.col(f).cast("double"))
-    keep_rows = base.withColumn("_p", F.row_number().over(w.orderBy(draw(1), *key)))
-    donors = base.select(*group, F.row_number().over(w.orderBy(draw(2), *key)).alias("_p"), moved.alias("_v"))
-    joined = keep_rows.join(donors, [*group, "_p"])
-    return joined.withColumns({f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f).cast("double")) for f in features}).drop("_b", "_p", "_v")
+    base = df.withColumn("rep", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+    base = base.withColumn("_u", F.xxhash64(*key, F.col("rep"))).withColumn("_part", F.pmod("_u", F.lit(parts)))
+    values = F.struct(*[F.col(f).cast("double").alias(f) for f in features])
+    place = F.struct("_u", *key)
+    heads = base.groupBy("rep", "_part").agg(F.min_by(values, place).alias("_head"))
+    circle = Window.partitionBy("rep").orderBy("_part")  # ``parts`` rows
+    following = F.coalesce(F.lead("_head").over(circle), F.first("_head").over(circle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = heads.select("rep", "_part", following.alias("_follows"))
+    inside = F.lead(values).over(Window.partitionBy("rep", "_part").orderBy("_u", *key))
+    moved = base.withColumn("_next", inside).join(heads, ["rep", "_part"]).withColumn("_next", F.coalesce("_next", "_follows"))
+    copies = moved.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    shuffled = {f: F.when(F.col("feature") == f, F.col("_next")[f]).otherwise(F.col(f).cast("double")) for f in features}
+    return copies.withColumns(shuffled).drop("_u", "_part", "_next", "_follows")
 
 
 def permutation_importance(model: Model, test: DataFrame, features: list[str], label: str, repeats: int, row_key: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelkit.functions import fixed_values as fv
 from panelkit.functions.scalar import nan_to_null
@@ -46,14 +47,34 @@ def read_or_empty(spark: SparkSession, path: str, fmt: str, schema: str, **optio
         return spark.createDataFrame([], schema)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file with a header, its columns taken by name in any order: values that are
+    no such type and absent columns are null, further columns are left out."""
+    try:
+        raw = spark.read.csv(path, header=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    have = {c.strip().lower(): F.col(f"`{c}`") for c in raw.columns}
+    kinds = StructType.fromDDL(schema).fields
+    return raw.select(*[F.trim(have[f.name]).try_cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
+
+
 def read_macro_monthly(spark: SparkSession, path: str) -> DataFrame:
-    return nan_to_null(read_or_empty(spark, path, "csv", MACRO_SCHEMA, header="true"))
+    return nan_to_null(read_csv(spark, path, MACRO_SCHEMA))
+
+
+def read_holidays(spark: SparkSession, path: str) -> DataFrame:
+    """(date) of a list of holidays, one ISO date per line; other lines are left out."""
+    lines = read_or_empty(spark, path, "text", "value string")
+    return lines.select(F.regexp_extract("value", r"\d{4}-\d{2}-\d{2}", 0).try_cast("date").alias("date")).filter("date is not null").distinct()
 
 
 def read_rate_events(spark: SparkSession, path: str) -> DataFrame:
     """Rate decisions with ``seq``, their order in the file: the later of two decisions
     on one date is in force."""
-    return nan_to_null(read_or_empty(spark, path, "csv", RATES_SCHEMA, header="true")).withColumn("seq", F.monotonically_increasing_id())
+    return nan_to_null(read_csv(spark, path, RATES_SCHEMA)).withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:

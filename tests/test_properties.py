@@ -45,7 +45,7 @@ def test_split_ranks_equal_pandas(market):
     pdf = market.panel.select("ym", "symbol", "amihud", "upday_frac", "mom_3m").toPandas()
     for c in ("amihud", "upday_frac", "mom_3m"):
         df = market.panel.filter(F.col(c).isNotNull()).select("ym", "symbol", F.round(c, 12).alias("x"))
-        got = ranks.averaged(df, ["ym"], {"x": "r"}, buckets=7).toPandas().merge(pdf, on=["ym", "symbol"])
+        got = ranks.averaged(df, ["ym"], {"x": "r"}).toPandas().merge(pdf, on=["ym", "symbol"])
         want = got["x"].groupby(got["ym"]).rank()
         assert (got["r"] == want).all()
 
