@@ -22,6 +22,16 @@ def needed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
 
 
+def wrapped(df: DataFrame, name: str = "_row") -> DataFrame:
+    """All columns as one struct, so that an operator's own columns clash with none."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def unwrapped(df: DataFrame, columns: list[str], name: str = "_row", **changed: Column) -> DataFrame:
+    """The columns of ``wrapped`` rows again, with some of them changed."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col(name)[c].alias(c) for c in columns])
+
+
 def extended(df: DataFrame, keep: list[str] | tuple[str, ...], more: str) -> StructType:
     """The schema of the columns ``keep`` followed by those of a DDL string."""
     return StructType([*[df.schema[c] for c in keep], *StructType.fromDDL(more).fields])

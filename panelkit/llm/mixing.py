@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import WORD, size_bounded
+from panelkit.llm.common import WORD, size_bounded, unwrapped, wrapped
+from panelkit.operators.ranks import prefix_sums
 from panelkit.session import materialize
 
 #: Leading hex digits of the key that name its range: 4096 ranges for each source.
@@ -31,21 +32,8 @@ def size_of(text: str | Column) -> Column:
 
 
 def key_of(doc_id: str | Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
-
-
-def prefix_sums(df: DataFrame, order: list[Column], purpose: str, **values: Column) -> DataFrame:
-    """``df`` with, for every named value, its sum over the rows before in ``order``: ranges
-    are sorted apart, and the totals of the ranges (one row each) are added up. The order
-    must be unique."""
-    parts = df.withColumns(values).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parts = materialize(parts, purpose)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("_part").agg(*[F.sum(n).alias(f"_{n}") for n in values])
-    starts = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in values])
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = parts.join(F.broadcast(starts), "_part")  # a row for each shuffle partition at most
-    return joined.withColumns({n: F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"_{n}") for n in values}).drop("_part", *[f"_{n}" for n in values])
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
 def targets(totals: DataFrame, most: int = 3) -> DataFrame:
@@ -54,11 +42,11 @@ def targets(totals: DataFrame, most: int = 3) -> DataFrame:
     and the excess goes to the others by weight. One level satisfies all: sorted by
     most * size / weight, sources before the level are full, the others get level * weight."""
     order = [F.col("source").isNull(), F.col("source")]
-    ranked = prefix_sums(totals.select("source", "source_size"), order, "mix-rank", at=F.lit(1))
+    ranked = prefix_sums(totals.select("source", "source_size"), [], order, "mix-rank", at=F.lit(1).cast("long"))
     full = F.col("source_size") * most
     weighed = ranked.withColumn("w", F.col("at") % 3 + 1).withColumn("full", full).withColumn("ratio", F.col("full") / F.col("w"))
     level_order = [F.col("ratio"), *order]
-    sums = materialize(prefix_sums(weighed, level_order, "mix-level", below=F.col("full"), spent=F.col("w")), "mix-targets")
+    sums = materialize(prefix_sums(weighed, [], level_order, "mix-level", below=F.col("full"), spent=F.col("w")), "mix-targets")
     whole = sums.agg(F.sum("source_size").alias("all"), F.sum("w").alias("weights"))
     level = sums.join(F.broadcast(whole)).withColumns({"left": F.col("all") - F.col("below"), "rest": F.col("weights") - F.col("spent")})  # one row
     first = level.filter(F.col("left") / F.col("rest") <= F.col("ratio")).agg(F.min(F.struct(F.col("ratio"), F.col("source").isNull(), F.col("source"), F.col("left"), F.col("rest"))).alias("m"))
@@ -112,14 +100,15 @@ def mix(documents: DataFrame, seed: int = 17, most: int = 3) -> DataFrame:
 def mixed_documents(documents: DataFrame, seed: int = 17, most: int = 3) -> DataFrame:
     """The documents of the mix, each as often as it is taken. Texts stay whole: the
     document at a cut is taken once more if at least half of it lies before the cut."""
-    keyed = {"_size": size_of("text"), "_key": key_of("doc_id", seed)}
-    sized = materialize(documents.select("source", keyed["_size"].alias("size"), keyed["_key"].alias("key")), "mix-sizes")
-    table = cuts(sized, most).select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("part").alias("_part"))
-    rows = documents.withColumns(keyed).join(size_bounded(table, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")), "left")
-    own = F.struct(F.col("_key").alias("key"), F.col("_size").alias("size"))
-    last = F.when(own < F.col("_cut"), 1).when((own == F.col("_cut")) & (2 * F.col("_part") >= F.col("_size")) & (F.col("_part") > 0), 1).otherwise(0)
-    times = (F.coalesce("_epochs", F.lit(0)) + last).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    sized = documents.select("source", size_of("text").alias("size"), key_of("doc_id", seed).alias("key"))
+    table = cuts(materialize(sized, "mix-sizes"), most)
+    rows = wrapped(documents)
+    rows = rows.select("_row", F.col("_row")["source"].alias("source"), size_of(F.col("_row")["text"]).alias("size"), key_of(F.col("_row")["doc_id"], seed).alias("key"))
+    rows = with_cuts(rows, table)
+    own = F.struct("key", "size")
+    last = F.when(own < F.col("cut"), 1).when((own == F.col("cut")) & (2 * F.col("part") >= F.col("size")) & (F.col("part") > 0), 1).otherwise(0)
+    times = (F.coalesce("epochs", F.lit(0)) + last).cast("int")
+    return unwrapped(rows.select("_row", F.explode(F.array_repeat(F.lit(0), times))), documents.columns)
 
 
 #: DuckDB SQL for ``mix`` over ``documents``, the same steps without ranges.

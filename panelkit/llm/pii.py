@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.llm.common import wrapped
+
 ROUNDS = 8
 #: Dates permuted among themselves: 1900-01-01 to 2099-12-31, 229 * 319 days.
 FIRST_DAY, DAYS = "1900-01-01", (229, 319)
@@ -175,13 +177,14 @@ def pseudonymised(docs: DataFrame, key: str = "public-test-key", text: str = "te
     names = [c for c in docs.columns if not (counts and c in {f"n_{k}" for k in KINDS})]
     by_kind = {"email": _email(key), "iban": _iban(key), "phone": _phone(key), "ssn": _ssn(key), "date": _date(key), "address": _address(key), "card": _card(key)}
     one = "case kind " + " ".join(f"when '{k}' then {x}" for k, x in by_kind.items()) + " end"
-    found = docs.withColumn("_m", F.regexp_extract_all(F.col(text), F.lit(ANY), 0))
-    found = found.withColumn("_p", F.when(F.size("_m") > 0, F.split(F.col(text), ANY, -1)))
+    t = F.col("_row")[text]
+    found = wrapped(docs).withColumn("_m", F.regexp_extract_all(t, F.lit(ANY), 0))
+    found = found.withColumn("_p", F.when(F.size("_m") > 0, F.split(t, ANY, -1)))
     new = F.expr(f"transform(_m, m -> struct({kind_of('m')} as kind, m as m))")
     found = found.withColumn("_k", F.when(F.size("_m") > 0, new))
     found = found.withColumn("_n", F.expr(f"transform(_k, y -> {_let('y.m', 'm', _let('y.kind', 'kind', one))})"))
     joined = F.expr("array_join(transform(_p, (x, j) -> concat(x, coalesce(get(_n, j), ''))), '')")
-    columns = [F.when(F.col("_p").isNull(), F.col(text)).otherwise(joined).alias(c) if c == text else F.col(f"`{c}`") for c in names]
+    columns = [F.when(F.col("_p").isNull(), t).otherwise(joined).alias(c) if c == text else F.col("_row")[c].alias(c) for c in names]
     if counts:
         columns += [F.expr(f"cast(coalesce(size(filter(_k, (y, j) -> y.kind = '{k}' and y.m <> _n[j])), 0) as int) as n_{k}") for k in KINDS]
     return found.select(*columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm import tiles
-from panelkit.llm.common import connected_components, size_bounded
+from panelkit.llm.common import connected_components, size_bounded, unwrapped, wrapped
 from panelkit.session import materialize
 
 SEED = 42
@@ -160,11 +160,11 @@ def deduplicated(documents: DataFrame, k: int = 5, similarity: float = 0.8, radi
     group = F.coalesce("component", "same")
     kept = nodes.join(joined, nodes["same"] == joined["node"], "left").groupBy(group.alias("g")).agg(F.min("doc_id").alias("_kept"))
     kept = materialize(kept.select("_kept").distinct(), "dedup-kept")
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    out = documents.join(size_bounded(kept, BROADCAST_IDS), F.col("doc_id") == F.col("_kept"), "left_semi")
+    rows = wrapped(documents).withColumn("_id", F.col("_row")["doc_id"])
+    out = rows.join(size_bounded(kept, BROADCAST_IDS), F.col("_id") == F.col("_kept"), "left_semi")
     twice = materialize(own.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "dedup-twice")
     if not twice.isEmpty():
-        repeated = out.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi")
-        one = repeated.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
-        out = out.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(one)
-    return out.unionByName(documents.filter("doc_id is null"))
+        repeated = out.join(twice, F.col("_id") == F.col("_twice"), "left_semi")
+        one = repeated.groupBy("_id").agg(F.min("_row").alias("_row")).select("_row", "_id")
+        out = out.join(twice, F.col("_id") == F.col("_twice"), "left_anti").unionByName(one)
+    return unwrapped(out.unionByName(rows.filter("_id is null")), documents.columns)

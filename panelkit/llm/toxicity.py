@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier in numpy.
 
-A word's vector is the sum of two hashed embeddings, so two words are mixed up only where
-both hashes meet. Filters of several widths slide over the word vectors; the largest answer
+A word's vector is the sum of three hashed embeddings: two of the word, so that words are
+mixed up only where both hashes meet, and one of its first letters, so that rare forms of
+a stem share what was learned. Filters of several widths slide over the word vectors; the largest answer
 of each filter feeds a logistic unit. Embeddings start from the smoothed log-odds of their
 bucket, then all weights are trained by gradient steps. The decision threshold on the
 logit is calibrated for each language, which is guessed from the text's own function words
@@ -29,6 +30,9 @@ from panelkit.llm.common import balanced_sample, extended, needed
 
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 4, (1, 2, 3)
 BUCKETS = 1 << BITS
+#: Tables: two hashes of the word, and one of its first STEM characters.
+TABLES, STEM = 3, 5
+_SHIFT = TABLES * BITS
 #: Words a worker remembers at most.
 REMEMBERED = 400_000
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|_-"
@@ -44,13 +48,14 @@ _LANG = {w: i + 1 for i, ws in enumerate(FUNCTION_WORDS.values()) for w in ws}
 
 
 class Words(dict):
-    """word -> two bucket numbers, with the language of function words above them."""
+    """word -> three bucket numbers, with the language of function words above them."""
 
     def __missing__(self, word: str) -> int:
         w = word.strip(_EDGE)
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = v = xxhash.xxh64_intdigest(w.encode()) >> (64 - 2 * BITS) | _LANG.get(w, 0) << 2 * BITS
+        stem = xxhash.xxh64_intdigest(b"<" + w[:STEM].encode()) >> (64 - BITS)
+        self[word] = v = xxhash.xxh64_intdigest(w.encode()) >> (64 - 2 * BITS) | stem << 2 * BITS | _LANG.get(w, 0) << _SHIFT
         return v
 
 
@@ -65,14 +70,14 @@ def word_ids(text: str | None) -> np.ndarray:
 
 def language(ids: np.ndarray) -> int:
     """Index into LANGUAGES of the text's most frequent function words, 0 if none."""
-    seen = np.bincount(ids >> 2 * BITS, minlength=len(LANGUAGES))[1:]
+    seen = np.bincount(ids >> _SHIFT, minlength=len(LANGUAGES))[1:]
     return int(seen.argmax()) + 1 if seen.any() else 0
 
 
 class TextCnn:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.e = rng.normal(0, 0.05, (2, BUCKETS + 1, DIM)).astype(np.float32)
+        self.e = rng.normal(0, 0.05, (TABLES, BUCKETS + 1, DIM)).astype(np.float32)
         self.w = {k: rng.normal(0, 0.3, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS}
         for k in WIDTHS:
             self.w[k][:, 0, : FILTERS // 2] = 0.7  # half of the filters begin on the log-odds
@@ -86,24 +91,25 @@ class TextCnn:
     # ---- fitting
     @staticmethod
     def hashed(ids: np.ndarray) -> np.ndarray:
-        """(2, n + padding) bucket numbers; the last bucket is padding and stays zero."""
-        h = np.full((2, len(ids) + WIDTHS[-1] - 1 + (not len(ids))), BUCKETS, np.int32)
-        h[0, : len(ids)], h[1, : len(ids)] = ids & (BUCKETS - 1), (ids >> BITS) & (BUCKETS - 1)
+        """(tables, n + padding) bucket numbers; the last bucket is padding and stays zero."""
+        h = np.full((TABLES, len(ids) + WIDTHS[-1] - 1 + (not len(ids))), BUCKETS, np.int32)
+        for t in range(TABLES):
+            h[t, : len(ids)] = (ids >> t * BITS) & (BUCKETS - 1)
         return h
 
     def start(self, docs: list[np.ndarray], y: np.ndarray) -> None:
-        for k in (0, 1):
+        for k in range(TABLES):
             seen = np.zeros((2, BUCKETS + 1))
             for d, t in zip(docs, y):
                 seen[int(t), np.unique(d[k])] += 1
             n = np.bincount(y.astype(int), minlength=2)
             odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-            firm = (seen.sum(0) / (seen.sum(0) + 5)).clip(0, 1)
+            firm = seen.sum(0) / (seen.sum(0) + 3)
             self.e[k, :, 0] = np.clip(odds * firm, -3, 3) / 2
             self.e[k, BUCKETS] = 0
 
     def forward(self, h: np.ndarray):
-        x = self.e[0][h[0]] + self.e[1][h[1]]
+        x = sum(e[i] for e, i in zip(self.e, h))
         tops, at = [], []
         n = len(x) - WIDTHS[-1] + 1
         for k in WIDTHS:
@@ -143,7 +149,7 @@ class TextCnn:
                             pos = at[q] + j
                             gw[k][j] += x[pos].T * part
                             g = self.w[k][j].T * part[:, None]
-                            for s in (0, 1):
+                            for s in range(TABLES):
                                 rows.append(h[s][pos])
                                 slots.append(np.full(FILTERS, s))
                                 grads.append(g)
@@ -156,7 +162,7 @@ class TextCnn:
                 keys, inverse = np.unique(flat, return_inverse=True)
                 g = np.zeros((len(keys), DIM), np.float32)
                 np.add.at(g, inverse, np.concatenate(grads))
-                e, s = self.e.reshape(-1, DIM), sums.setdefault("e", np.full((2 * (BUCKETS + 1), DIM), 1e-3, np.float32))
+                e, s = self.e.reshape(-1, DIM), sums.setdefault("e", np.full((TABLES * (BUCKETS + 1), DIM), 1e-3, np.float32))
                 s[keys] += g * g
                 e[keys] -= rate * 0.3 * g / np.sqrt(s[keys])
                 self.e[:, BUCKETS] = 0
@@ -181,6 +187,10 @@ class TextCnn:
         self.prepare()
         z, langs = np.array([self.logit(d) for d, f in zip(ids, held) if f]), np.array([language(d) for d, f in zip(ids, held) if f])
         self.calibrate(z, y[held], langs)
+        # the last quarter's words count too: a few more rounds over all rows
+        self.learn([self.hashed(d) for d in ids], y, 2, rate)
+        self.tables = None
+        self.prepare()
         return self
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, langs: np.ndarray, least: int = 20) -> None:
@@ -207,7 +217,7 @@ class TextCnn:
 
     # ---- scoring
     def prepare(self) -> None:
-        """Embedding times filter for every bucket: a word then costs two look-ups."""
+        """Embedding times filter for every bucket: a word then costs a look-up in each."""
         if self.tables is None and self.constant is None:
             cols = np.concatenate([self.w[k][j] for k in WIDTHS for j in range(k)], axis=1)
             self.tables = [(e @ cols).astype(np.float32) for e in self.e]
@@ -218,7 +228,7 @@ class TextCnn:
         n = h.shape[1] - WIDTHS[-1] + 1
         for a in range(0, n, 20_000):  # long texts in overlapping windows, all of them
             part = h[:, a : a + 20_000 + WIDTHS[-1] - 1]
-            x = self.tables[0][part[0]] + self.tables[1][part[1]]
+            x = sum(t[i] for t, i in zip(self.tables, part))
             m, at, best = len(x) - WIDTHS[-1] + 1, 0, []
             for k in WIDTHS:
                 c = sum(x[j : j + m, at + j * FILTERS : at + (j + 1) * FILTERS] for j in range(k))
