@@ -66,7 +66,7 @@ def _(c):
     return eventstudy.anchor_days(c.view("catalog_events"), eventstudy.trading_days(c.m.market))
 
 
-@query("c7_event_windows", "unpivot study include nulls on pre, event, post, drift into name window_name value car", "expected_sign car")
+@query("c7_event_windows", "select * from study unpivot include nulls (car for window_name in (pre, event, post, drift))", "expected_sign car")
 def _(c):
     from panelkit.operators.baskets import abnormal_returns
 

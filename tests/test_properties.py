@@ -52,7 +52,7 @@ def test_split_ranks_equal_pandas(market):
 
 def test_first_come_ranks_are_a_permutation(market):
     df = market.panel.filter("upday_frac is not null").select("ym", "symbol", "upday_frac")
-    out = ranks.first_come(df, ["ym"], "upday_frac", "symbol", buckets=5).toPandas()
+    out = ranks.first_come(df, ["ym"], "upday_frac", "symbol").toPandas()
     for _, g in out.groupby("ym"):
         assert sorted(g["rank_up"]) == list(range(1, len(g) + 1)) == sorted(g["rank_down"])
 
@@ -62,7 +62,7 @@ def test_rank_ic_matches_pandas_spearman(market):
     pdf = market.eligible.select("ym", "mom_3m", "fwd_1").toPandas().dropna()
     for ym, g in pdf.groupby("ym"):
         if len(g) > 3:
-            a, b = g["mom_3m"].astype("float32").rank(), g["fwd_1"].astype("float32").rank()
+            a, b = g["mom_3m"].rank(), g["fwd_1"].rank()
             assert one[ym] == pytest.approx(a.corr(b), abs=1e-9)
 
 
@@ -81,7 +81,7 @@ def test_embargoed_split_keeps_labels_apart(market):
 
 def test_shuffle_permutes_one_feature_only(spark, market):
     rows = market.eligible.dropna(subset=["mom_3m", "vol_3m"]).select("ym", "symbol", "mom_3m", "vol_3m")
-    out = models.shuffled_copies(rows, ["mom_3m", "vol_3m"], 1, ["ym", "symbol"], rows_per_bucket=200)
+    out = models.shuffled_copies(rows, ["mom_3m", "vol_3m"], 1, ["ym", "symbol"], parts=4)
     src = rows.toPandas()
     got = out.filter("feature = 'mom_3m'").toPandas()
     assert len(got) == len(src)

@@ -200,3 +200,70 @@ def test_macro_lag_moves_the_sector_side(spark):
     deltas = spark.createDataFrame([(m, *([x] * 6)) for m, x in zip(ms, xs)], "ym date, " + ", ".join(f"{c} double" for c in corr.DELTAS))
     sector = spark.createDataFrame([(ms[i + 1], "a", xs[i]) for i in range(19)], "ym date, sector string, ret double")
     assert corr.sector_macro_corr(sector, deltas, lag=1).filter("factor = 'oil_ret'").collect()[0]["corr"] == pytest.approx(1.0)
+
+
+# ---- corrections of round 1
+def test_later_decision_of_a_date_holds(spark):
+    steps = spark.createDataFrame([("2020-01-02", 9.0, 1), ("2020-01-02", 8.0, 2)], "d string, rate double, seq int").selectExpr("cast(d as date) as date", "rate", "seq")
+    asked = spark.sql("select date'2020-01-05' as date")
+    assert asof.backward_asof(asked, steps, "rate", order="seq").first()["rate"] == 8.0
+    assert asof.forward_asof(spark.sql("select date'2020-01-01' as date"), steps, "rate", order="seq").first()["rate"] == 8.0
+    with pytest.raises(Exception, match="several values of rate"):
+        asof.backward_asof(asked, steps, "rate").collect()
+    same = steps.withColumn("rate", F.lit(9.0))
+    assert asof.backward_asof(asked, same, "rate").first()["rate"] == 9.0
+
+
+def test_total_loss_stays_lost(spark):
+    from panelkit.functions import stats
+    from panelkit.operators import trend
+
+    df = spark.createDataFrame([("a", i, r) for i, r in enumerate([0.1, -1.0, 0.1])] + [("b", 0, None), ("c", 0, -0.5), ("c", 1, 1.0)], "k string, date int, ret double")
+    got = {r["k"]: r["m"] for r in df.groupBy("k").agg(stats.multiple("ret").alias("m")).collect()}
+    assert got["a"] == 0.0 and got["b"] is None and got["c"] == pytest.approx(1.0)
+    rows = trend.drawdowns(df.filter("ret is not null"), ["k"]).orderBy("k", "date").collect()
+    assert [round(r["equity"], 9) for r in rows] == [1.1, 0.0, 0.0, 0.5, 1.0] and [r["drawdown"] for r in rows][:3] == [0.0, -1.0, -1.0]
+
+
+def test_prefix_sums_split_a_constant_group_and_a_heavy_value(spark):
+    from panelkit.operators import ranks
+
+    rows = [("flat", 1.0)] * 500 + [("heavy", 2.0)] * 400 + [("heavy", float(i)) for i in range(100)] + [("wide", i / 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = ranks.averaged(df, ["g"], {"x": "r"}).toPandas()
+    want = got.groupby("g")["x"].rank()
+    assert len(got) == len(rows) and (got["r"] == want).all()
+    parts = ranks.prefix_sums(df.groupBy("g", "x").count(), ["g"], [F.col("x")], "t", before=F.col("count"))
+    assert parts.count() == 1 + 100 + 900
+
+
+def test_shared_location_is_required_beyond_one_process(monkeypatch):
+    from panelkit import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session(), "x")
+
+
+def test_release_leaves_nothing_behind(spark):
+    import os
+
+    from panelkit import session
+
+    held = session._written.pop(spark.sparkContext.applicationId, [])
+    try:
+        a = session.materialize(spark.range(5).toDF("k"), "gone", "k", ())
+        assert a.count() == 5
+        path, name = session._written[spark.sparkContext.applicationId][-1]
+        assert session.release(spark) == 2 and not os.path.exists(path) and not spark.catalog.tableExists(name)
+    finally:
+        session._written[spark.sparkContext.applicationId] = held

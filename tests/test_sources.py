@@ -94,3 +94,34 @@ def test_panel_is_written_sorted(spark, archives, tmp_path):
     sinks.write_panel(feeds.parse_feed(feeds.read_archives(spark, archives)), out)
     keys = [(r["symbol"], r["date"]) for r in spark.read.parquet(out).collect()]
     assert keys == sorted(keys)
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("kse100,date,cpi_yoy, Policy_Rate \n40000,2020-01-31,11.0,13.25\n1,x,NaN,\n")
+    rows = ctx.read_macro_monthly(spark, str(tmp_path / "m.csv")).collect()
+    assert (str(rows[0]["date"]), rows[0]["policy_rate"], rows[0]["cpi_yoy"], rows[0]["fx_reserves_sbp_bn"]) == ("2020-01-31", 13.25, 11.0, None)
+    assert rows[1]["date"] is None and rows[1]["cpi_yoy"] is None
+
+
+def test_holidays_are_read_line_by_line(spark, tmp_path):
+    (tmp_path / "h.txt").write_text("2024-01-01\n# none\n\"2024-02-05\",\n2024-01-01\n2024-13-01\n")
+    assert sorted(str(r["date"]) for r in ctx.read_holidays(spark, str(tmp_path / "h.txt")).collect()) == ["2024-01-01", "2024-02-05"]
+
+
+def test_keep_last_goes_by_file_name_then_folder(spark):
+    rows = [("/b/2020.gz", 1, "old"), ("/a/2021.gz", 1, "new"), ("/a/2020.gz", 9, "older")]
+    df = spark.createDataFrame([("d", "s", *r) for r in rows], "date string, symbol string, file string, pos long, v string")
+    assert feeds.dedup_keep_last(df).first()["v"] == "new"
+
+
+def test_zip_and_damaged_archives(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/readme.txt", "no")
+        z.writestr("x/Day.LIS", "one\r\ntwo\n")
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"three\nfour")[:-6])
+    (tmp_path / "c.gz").write_bytes(gzip.compress(b"five"))
+    (tmp_path / "d.zip").write_bytes(b"PK nothing")
+    assert sorted(r["line"] for r in feeds.read_archives(spark, str(tmp_path)).collect()) == ["five", "one", "two"]
