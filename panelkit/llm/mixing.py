@@ -47,12 +47,11 @@ def targets(totals: DataFrame, most: int = 3) -> DataFrame:
     weighed = ranked.withColumn("w", F.col("at") % 3 + 1).withColumn("full", full).withColumn("ratio", F.col("full") / F.col("w"))
     level_order = [F.col("ratio"), *order]
     sums = materialize(prefix_sums(weighed, [], level_order, "mix-level", below=F.col("full"), spent=F.col("w")), "mix-targets")
-    whole = sums.agg(F.sum("source_size").alias("all"), F.sum("w").alias("weights"))
-    level = sums.join(F.broadcast(whole)).withColumns({"left": F.col("all") - F.col("below"), "rest": F.col("weights") - F.col("spent")})  # one row
-    first = level.filter(F.col("left") / F.col("rest") <= F.col("ratio")).agg(F.min(F.struct(F.col("ratio"), F.col("source").isNull(), F.col("source"), F.col("left"), F.col("rest"))).alias("m"))
-    level = sums.join(F.broadcast(first.select("m.left", "m.rest")))  # one row
-    share = (F.col("left") * F.col("w")).cast("double") / F.col("rest")
-    return level.select("source", "source_size", F.coalesce(F.least(F.col("full").cast("double"), share), F.lit(0.0)).alias("target"))
+    everything, weights = sums.select(F.sum("source_size")).scalar(), sums.select(F.sum("w")).scalar()
+    level = sums.withColumns({"left": everything - F.col("below"), "rest": weights - F.col("spent")})
+    first = level.filter(F.col("left") / F.col("rest") <= F.col("ratio")).select(F.min(F.struct(F.col("ratio"), *order, F.col("left"), F.col("rest"))).alias("m"))
+    share = (first.select("m.left").scalar() * F.col("w")).cast("double") / first.select("m.rest").scalar()
+    return sums.select("source", "source_size", F.coalesce(F.least(F.col("full").cast("double"), share), F.lit(0.0)).alias("target"))
 
 
 def cuts(sized: DataFrame, most: int = 3) -> DataFrame:
