@@ -4,7 +4,7 @@ A byte pair that stands inside no vocabulary token can never be merged across, s
 there is certain. Every (other byte, ASCII white space) pair of a byte-level vocabulary is
 of this kind, and the pre-tokenizer always starts a new piece there as well: the text
 falls into short fragments "white space + word" whose ids do not depend on their
-surroundings. Fragments repeat, so each worker keeps a bounded table of those it has met.
+surroundings. Fragments repeat, so each worker keeps bounded tables of those it has met.
 Long fragments are cut further at certain pairs between letters.
 
 Defined cases: a null text encodes as the empty text (no ids, empty decoded text); special
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm.common import extended
 
-#: Fragments a worker remembers at most; the table is emptied when full.
+#: Fragments a worker remembers at most, in each of a new and an old table.
 REMEMBERED = 300_000
 #: Fragments above so many characters are also cut inside, where a pair is certain.
 LONG = 200
@@ -77,13 +77,17 @@ class Codec:
         # as U+00A0, or of characters that share it: none of these characters ends a fragment
         self.ends = re.compile(r"\s*\S[^\t\n\x0b\x0c\r ]*|\s+") if not any(b < 128 for b in open_after) else None
         self.unclean = frozenset(open_after)
-        self.known: dict[str, bytes] = {}
+        odd = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or chr(c).encode()[-1] in self.unclean)]
+        self.odd_end = re.compile("[" + "".join(odd) + "\U00010000-\U0010ffff][\t\n\x0b\x0c\r ]")
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.known: dict[str, bytes] = dict(self.special)
+        self.old: dict[str, bytes] = {}
 
     def fragments(self, text: str) -> list[str]:
         if self.ends is None:
             return [text]
         found = self.ends.findall(text)
-        if self.unclean and not text.isascii():
+        if not text.isascii() and self.odd_end.search(text):
             found = self._rejoined(found)
         return found
 
@@ -101,12 +105,36 @@ class Codec:
             held = ""
         return [*out, held] if held else out
 
-    def _encode_new(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        for f, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new fragments. Those that open with ASCII white space and end cleanly
+        stay apart in a row as well, so one call encodes them all."""
+        rows = [f for f in new if f[0] in " \n\t" and not f[-1].isspace() and (f[-1] < "\x80" or f.encode()[-1] not in self.unclean)]
+        if rows and self.ends is not None:
+            ids = np.array(self.library.encode_batch_fast(["".join(rows)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(f) if f.isascii() else len(f.encode()) for f in rows), np.int64, len(rows)))
+            at = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
+            packed = ids.tobytes()
+            self.known.update(zip(rows, (packed[x:y] for x, y in zip([0, *at.tolist()], at.tolist()))))
+            new = [f for f in new if f not in self.known]
+        for f, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[f] = np.array(e.ids, "<u4").tobytes()
 
+    def _values(self, found: list[str]) -> list[bytes]:
+        """The ids of each fragment. A full table becomes the old one, from which
+        fragments that come again move over."""
+        values = list(map(self.known.get, found))
+        lost = [i for i, v in enumerate(values) if v is None]
+        if lost:
+            new = list(dict.fromkeys(found[i] for i in lost))
+            if len(self.known) + len(new) > REMEMBERED:
+                self.old, self.known = self.known, dict(self.special)
+            old = self.old
+            self.known.update((f, old[f]) for f in new if f in old)
+            self._learn([f for f in new if f not in self.known])
+            for i in lost:
+                values[i] = self.known[found[i]]
+        return values
+
     def inner_cuts(self, fragment: str) -> list[str]:
         """Cuts between two ASCII lower-case letters that form a certain pair: one piece
         of the pre-tokenizer holds both, so only merges matter there."""
@@ -120,38 +148,49 @@ class Codec:
         bounds = [0, *at.tolist(), len(fragment)]
         return [fragment[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def _segment(self, text: str) -> bytes:
+    def cut(self, text: str) -> list[str]:
+        """All fragments of a text without special tokens."""
         found = self.fragments(text)
         if len(text) > LONG * len(found):  # few white spaces: look for long fragments
             found = [p for f in found for p in (self.inner_cuts(f) if len(f) > LONG else (f,))]
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            out = []
-            for a in range(0, len(found), REMEMBERED // 2):  # a text may hold more fragments than are remembered
-                part = found[a : a + REMEMBERED // 2]
-                new = list(dict.fromkeys(f for f in part if f not in known))
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(dict.fromkeys(part))
-                self._encode_new(new)
-                out.append(b"".join(map(known.__getitem__, part)))
-            return b"".join(out)
+        return found
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text, packed as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.at_special is None or not any(s in text for s in self.special):
-            return self._segment(text)
-        return b"".join(self.special.get(p) or self._segment(p) for p in self.at_special.split(text) if p)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """As ``encode``; new fragments of several texts are encoded together."""
+        flat: list[str] = []
+        ends = []
+        for t in texts:
+            if t and self.at_special is not None and any(s in t for s in self.special):
+                for p in self.at_special.split(t):
+                    flat += [p] if p in self.special else self.cut(p)
+            elif t:
+                flat += self.cut(t)
+            ends.append(len(flat))
+        values = self._values(flat)
+        return [b"".join(values[a:b]) for a, b in zip([0, *ends], ends)]
 
     def decode(self, packed: bytes | None) -> str:
         ids = np.frombuffer(packed or b"", "<u4").tolist()
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
+def grouped(texts: list[str | None], most: int = 500_000) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``most`` characters together; a longer text stands alone."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -169,7 +208,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                packed = [c.encode(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                packed = [p for some in grouped(part.column(part.schema.get_field_index(text)).to_pylist()) for p in c.encode_all(some)]
                 columns = [part.column(part.schema.get_field_index(k)) for k in keep] + [pa.array(packed, pa.binary())]
                 if decoded:
                     columns.append(pa.array([c.decode(p) for p in packed], pa.string()))
