@@ -181,6 +181,12 @@ def _(c):
     return history.level_correlation(_rated(c), history.symbol_months(c.m.prices), c.m.market_months, c.m.rates)
 
 
+@query("d21_name_rate_regimes", f"""with x as (select m.symbol, m.ret - q.mkt_m as x, case when rate < 25 then 'low' when rate < 26 then 'mid' when rate >= 26 then 'high' end as b from ({MONTHLY}) m join ({RATED}) q on m.ym = q.ym where m.ret is not null)
+ select symbol, avg(x) filter (b = 'high') as excess_high, avg(x) filter (b = 'low') as excess_low, count(x) filter (b = 'high') as n_high, count(x) filter (b = 'low') as n_low from x group by 1""", "excess_high excess_low")
+def _(c):
+    return history.name_rate_regimes(_rated(c), history.symbol_months(c.m.prices), c.m.market_months, 25.0, 26.0)
+
+
 @query("d22_surge_meta", f"select count(*) as n_episodes, avg(fwd) as avg_fwd, quantile_cont(fwd, 0.5) as median_fwd, avg((fwd > 0)::int) as continued_up_rate, avg(prior_mom) as avg_prior_momentum from ({SURGES}) q",
        "avg_fwd median_fwd continued_up_rate avg_prior_momentum")
 def _(c):

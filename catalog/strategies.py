@@ -11,7 +11,6 @@ from catalog.aggregates import KEYWORDS, NOT_NULL, RULE, RULE_LONG, TAGGED, _FEA
 from catalog.joins import FOLD_ROWS
 from catalog.registry import MIN_ADV, query
 from panelkit.functions import fixed_values as fv
-from panelkit.operators import xsection as X
 from panelkit.plans import evaluate as E
 from panelkit.plans import models, panels, report, rules
 from panelkit.session import shared_dir
@@ -109,17 +108,45 @@ def folds_sql(rows: str, min_months: int, min_train: int, min_test: int, k: int)
 
 @query("h7_time_split_classifier")
 def _(c):
-    panel = panels.surge_panel(c.m.prices, MIN_ADV, 0.25)
-    _, scored = models.time_split_classifier(panel, fv.SURGE_FEATURES, "surge", "1999-07-01", models.classifier("surge", 3, ROUNDS, 20))
-    return models.classifier_report(scored, "surge")
+    return models.classifier_report(surge_fit(c)[1], "surge")
+
+
+CUTOFF = "1999-07-01"
+#: The last month of the tables with full candidates; later ones hold a few late lines.
+PICK_MONTH = "2001-06-01"
+
+
+@query("h7_split_sizes", f"""select count(*) filter (date < date '{CUTOFF}') as n_train, count(*) filter (date >= date '{CUTOFF}') as n_test, coalesce(sum(surge) filter (date < date '{CUTOFF}'), 0.0) as train_events, avg(surge) filter (date >= date '{CUTOFF}') as base_rate,
+ count(*) filter (date >= date '{CUTOFF}') >= 200 and coalesce(sum(surge) filter (date < date '{CUTOFF}'), 0) >= 30 as sufficient from surge_panel""", "train_events base_rate")
+def _(c):
+    return models.split_sizes(panels.surge_panel(c.m.prices, MIN_ADV, 0.25), "surge", CUTOFF)
+
+
+def surge_fit(c):
+    """(model, scored) of the surge classifier, fitted once in a context."""
+    def build():
+        panel = panels.surge_panel(c.m.prices, MIN_ADV, 0.25)
+        return models.time_split_classifier(panel, fv.SURGE_FEATURES, "surge", CUTOFF, models.classifier("surge", 3, ROUNDS, 20))
+
+    return _once(c, "surge_fit", build)
+
+
+@query("h7_verdict")
+def _(c):
+    sizes = models.split_sizes(panels.surge_panel(c.m.prices, MIN_ADV, 0.25), "surge", CUTOFF)
+    return models.classifier_verdict(sizes, models.classifier_report(surge_fit(c)[1], "surge"))
+
+
+@query("h9_auc_importance")
+def _(c):
+    model, scored = surge_fit(c)
+    return models.permutation_importance(model, scored.drop("score"), fv.SURGE_FEATURES, "surge", 4, ["ym", "symbol"], metric="auc")
 
 
 @query("h7_decile_sizes", f"""with s as (select * from surge_panel where date >= date '1999-07-01' and {' and '.join(f + ' is not null' for f in fv.SURGE_FEATURES)} and surge is not null), r as (select row_number() over () as k, count(*) over () as n, avg(surge) over () as base_rate from s)
  select cast(greatest(0, ceil((k - 1) * 10 / (n - 1)::double) - 1) as int) as decile, count(*) as n, any_value(base_rate) as base_rate from r group by 1""", "base_rate")
 def _(c):
-    panel = panels.surge_panel(c.m.prices, MIN_ADV, 0.25)
-    _, scored = models.time_split_classifier(panel, fv.SURGE_FEATURES, "surge", "1999-07-01", models.classifier("surge", 3, ROUNDS, 20))
-    return models.classifier_report(scored, "surge").select("decile", "n", "base_rate")
+    return models.classifier_report(surge_fit(c)[1], "surge").select("decile", "n", "base_rate")
 
 
 @query("h8_walk_forward_folds", folds_sql(FOLD_ROWS, 30, 300, 10, 5), "universe")
@@ -154,10 +181,6 @@ def _(c):
     return models.permutation_importance(model, test, fv.PANEL_FEATURES, "fwd_1", 5, ["ym", "symbol"])
 
 
-#: The last month of the tables with full candidates; later ones hold a few late lines.
-PICK_MONTH = "2001-06-01"
-
-
 @query("h10_current_picks")
 def _(c):
     return models.current_picks(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, FAST, 5, ym=F.lit(PICK_MONTH).cast("date"))
@@ -166,11 +189,29 @@ def _(c):
 @query("h10_current_screen")
 def _(c):
     panel = panels.surge_panel(c.m.prices, MIN_ADV, 0.25, require_label=False)
-    labelled = panel.filter("surge is not null")
-    model, _ = models.time_split_classifier(labelled, fv.SURGE_FEATURES, "surge", "1999-07-01", models.classifier("surge", 3, ROUNDS, 20))
-    latest = panel.filter(F.col("ym") == panel.select(F.max("ym")).scalar())
-    scored = models.probability(model.transform(models.assembled(latest, fv.SURGE_FEATURES, None)))
-    return X.top_k(scored, "score", 15, ["ym"]).select("ym", "symbol", "sector_name", "rank", "score", "ret_60", "dist_252h")
+    return models.current_screen(surge_fit(c)[0], panel, fv.SURGE_FEATURES).select("ym", "symbol", "sector_name", "rank", "score", "ret_60", "dist_252h")
+
+
+_SCREENED = f"(select * from surge_rows where {' and '.join(f + ' is not null' for f in fv.SURGE_FEATURES)})"
+
+
+@query("h10_screen_places", f"select date, cast(row_number() over () as int) as rank from {_SCREENED} q where date = (select max(date) from {_SCREENED} z) limit 15")
+def _(c):
+    panel = panels.surge_panel(c.m.prices, MIN_ADV, 0.25, require_label=False)
+    return models.current_screen(surge_fit(c)[0], panel, fv.SURGE_FEATURES).select("date", "rank")
+
+
+@query("h10_sector_picks")
+def _(c):
+    make = partial(models.regressor, depth=3, rounds=ROUNDS, leaf=15)
+    return models.current_picks(c.m.sector_panel, fv.SECTOR_FEATURES, HORIZONS, make, 3, name="sector", ym=F.lit(PICK_MONTH).cast("date"), min_train=120)
+
+
+@query("h10_pick_places", f"""with p as (select *, year(ym)*12+month(ym) as m from eligible where {NOT_NULL}), h as (select unnest([1, 2, 3]) as H)
+ select H, date '{PICK_MONTH}' as ym, cast(r as int) as rank from h, (select unnest(range(1, 6)) as r) k where (select count(*) from p where ym = date '{PICK_MONTH}') >= 5
+ and (select count(*) from p where m <= year(date '{PICK_MONTH}')*12+month(date '{PICK_MONTH}') - H and case H when 1 then fwd_1 when 2 then fwd_2 else fwd_3 end is not null) >= 300""")
+def _(c):
+    return models.current_picks(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, FAST, 5, ym=F.lit(PICK_MONTH).cast("date")).select("H", "ym", "rank")
 
 
 @query("h10_model_picks_live")
@@ -196,6 +237,8 @@ def _(c):
         **report.history_tables(m, 0.25, -0.2, "Sector 7"),
         **report.panel_tables(m),
         **report.context_tables(c.view("news"), KEYWORDS, c.view("flows"), c.view("client_flows")),
+        **report.ranking_tables(m, walk(c)[0], sector_walk(c)[0], tagged(c)),
+        **report.predictor_tables(*surge_fit(c), panels.surge_panel(m.prices, MIN_ADV, 0.25, require_label=False), CUTOFF),
     }
     path = shared_dir(c.spark, "report")
     sinks.write_bundle(report.shaped(tables), path)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import month_index
+from panelkit.operators import ranks
 from panelkit.operators import xsection as X
 from panelkit.plans.folds import purged_folds
 from panelkit.session import materialize, shared_dir
@@ -62,6 +63,31 @@ def classifier_report(scored: DataFrame, label: str) -> DataFrame:
     return X.decile_lift(scored, "score", label).withColumns({"auc": area, "base_rate": base})
 
 
+def split_sizes(panel: DataFrame, label: str, cutoff: str, min_test: int = 200, min_events: int = 30) -> DataFrame:
+    """One row: rows and events on both sides of the cutoff, and whether they suffice."""
+    late = F.col("date") >= F.lit(cutoff).cast("date")
+    g = panel.agg(
+        F.count(F.when(~late, 1)).alias("n_train"), F.count(F.when(late, 1)).alias("n_test"),
+        F.coalesce(F.sum(F.when(~late, F.col(label))), F.lit(0.0)).alias("train_events"), F.avg(F.when(late, F.col(label))).alias("base_rate"),
+    )
+    return g.withColumn("sufficient", (F.col("n_test") >= min_test) & (F.col("train_events") >= min_events))
+
+
+def classifier_verdict(sizes: DataFrame, report: DataFrame) -> DataFrame:
+    """One row: the sizes, the area under the curve, the top decile, and the verdict. Small
+    samples get no verdict but ``insufficient``."""
+    top = report.filter(F.col("decile") == report.select(F.max("decile")).scalar()).select("auc", F.col("rate").alias("top_rate"), F.col("lift").alias("top_lift"))
+    values = {c: top.select(c).scalar() for c in ("auc", "top_rate", "top_lift")}
+    edge = (F.col("auc") > 0.56) & (F.col("top_lift") > 1.3)
+    return sizes.withColumns(values).withColumn("verdict", F.when(~F.col("sufficient"), "insufficient").when(edge, "modest_edge").otherwise("no_edge"))
+
+
+def current_screen(model: Model, panel: DataFrame, features: list[str], k: int = 15, by: str = "date") -> DataFrame:
+    """The k best rows of the latest date (or, by="ym", of the latest month)."""
+    latest = panel.filter(F.col(by) == panel.select(F.max(by)).scalar())
+    return X.top_k(probability(model.transform(assembled(latest, features, None))), "score", k, [by])
+
+
 def fold_sizes(panel: DataFrame, features: list[str], horizons: tuple[int, ...], min_months: int, min_train: int, min_test: int) -> DataFrame:
     """(H, fold, n_train, n_test, last_train) of all folds of all horizons, over rows with
     complete features."""
@@ -135,22 +161,30 @@ def shuffled_copies(df: DataFrame, features: list[str], repeats: int, row_key: l
     return copies.withColumns(shuffled).drop("_u", "_part", "_next", "_follows")
 
 
-def permutation_importance(model: Model, test: DataFrame, features: list[str], label: str, repeats: int, row_key: list[str]) -> DataFrame:
-    """(feature, importance): fall of R squared when a feature is shuffled, averaged
-    over repeats. All copies are scored in one pass; ``test`` must be complete."""
+def permutation_importance(model: Model, test: DataFrame, features: list[str], label: str, repeats: int, row_key: list[str], metric: str = "r2") -> DataFrame:
+    """(feature, importance): fall of R squared (metric "r2"), or of the area under the
+    curve of a classifier (metric "auc"), when a feature is shuffled, averaged over
+    repeats. All copies are scored in one pass; ``test`` must be complete."""
     test = test.dropna(subset=[*features, label])
     y, p = F.col(label), F.col("prediction")
     mean = test.select(F.avg(label)).scalar()
 
     def r2(df: DataFrame, *keys: str) -> DataFrame:
         err = F.sum((y - p) * (y - p))
-        return df.groupBy(*keys).agg((1 - F.try_divide(err, F.sum((y - mean) * (y - mean)))).alias("r2"))
+        return df.groupBy(*keys).agg((1 - F.try_divide(err, F.sum((y - mean) * (y - mean)))).alias("value"))
+
+    def area(df: DataFrame, *keys: str) -> DataFrame:
+        scores = probability(df).select(*keys, F.col("score"), y.cast("double").alias("_y"))
+        ranked = ranks.averaged(scores, list(keys), {"score": "_r"})
+        g = ranked.groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_y")).alias("_s"), F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_q"))
+        return g.select(*keys, F.try_divide(F.col("_s") - F.col("_p") * (F.col("_p") + 1) / 2, F.col("_p") * F.col("_q")).alias("value"))
 
+    measure = {"r2": r2, "auc": area}[metric]
     vectors = VectorAssembler(inputCols=features, outputCol="features")
-    base = r2(model.transform(vectors.transform(test.withColumns({f: F.col(f).cast("double") for f in features})))).select("r2").scalar()
+    base = measure(model.transform(vectors.transform(test.withColumns({f: F.col(f).cast("double") for f in features})))).select("value").scalar()
     copies = shuffled_copies(test.select(*row_key, *features, label), features, repeats, row_key)
-    per_copy = r2(model.transform(vectors.transform(copies)), "feature", "rep")
-    return per_copy.groupBy("feature").agg((base - F.avg("r2")).alias("importance"))
+    per_copy = measure(model.transform(vectors.transform(copies)), "feature", "rep")
+    return per_copy.groupBy("feature").agg((base - F.avg("value")).alias("importance"))
 
 
 def embargoed_split(panel: DataFrame, label: str, h: int, test_months: int = 18) -> tuple[DataFrame, DataFrame]:
