@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from panelkit.llm.common import extended
 
 #: Fragments a worker remembers at most, in each of a new and an old table.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Fragments above so many characters are also cut inside, where a pair is certain.
 LONG = 200
 SPACES = b"\t\n\x0b\x0c\r "
