@@ -69,9 +69,10 @@ def fingerprint(h: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(df: DataFrame, k: int, words: int = 1, text: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, k: int, words: int = 1, text: str = "text", repeats: bool = True) -> DataFrame:
     """(doc_id, f0.., n_shingles distinct, same): ``same`` hashes the normalised words, so
-    equal values are exact copies. One pass over whole texts."""
+    equal values are exact copies. ``repeats`` tells whether a repeated shingle counts
+    each time or once. One pass over whole texts."""
     fs = [f"f{i}" for i in range(words)]
     schema = "doc_id long, " + "".join(f"{f} long, " for f in fs) + "n_shingles long, same long"
 
@@ -80,8 +81,9 @@ def fingerprints(df: DataFrame, k: int, words: int = 1, text: str = "text") -> D
             prints, n, same = [], [], []
             for t in b.column("text").to_pylist():
                 h = shingle_hashes(t, k)
-                prints.append(fingerprint(h, words))
-                n.append(len(np.unique(h)))
+                once = np.unique(h)
+                prints.append(fingerprint(h if repeats else once, words))
+                n.append(len(once))
                 same.append(int.from_bytes(hashlib.blake2b(b" ".join((t or "").encode().lower().split()), digest_size=8).digest(), "big", signed=True))
             cols = [b.column("doc_id"), *[pa.array([p[i] for p in prints], pa.int64()) for i in range(words)], pa.array(n, pa.int64()), pa.array(same, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *fs, "n_shingles", "same"])
@@ -150,11 +152,11 @@ def deduplicated(documents: DataFrame, k: int = 5, similarity: float = 0.8, radi
     doc_id can't be named and stay. Of rows that share a doc_id the smallest row stays.
     """
     # `same` names a node: copies share one text, so any of their rows serves
-    own = materialize(fingerprints(documents, k, 2).filter("doc_id is not null"), "dedup")
+    own = materialize(fingerprints(documents, k, 2, repeats=False).filter("doc_id is not null"), "dedup")
     nodes = materialize(own.groupBy("same").agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("f0", "f1", "n_shingles")]), "dedup-nodes")
     step = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / F.log(F.lit(1 / similarity)) + 1e-9)
     rows = nodes.select(F.col("same").alias("id"), step.cast("long").alias("cell"), "f0", "f1")
-    proposed = materialize(tiles.links(rows, 2, radius, [0, 1], tile, "dedup").distinct(), "dedup-proposed")
+    proposed = materialize(tiles.links(rows, 2, radius, [0, 1], tile, "dedup", nearest=2).distinct(), "dedup-proposed")
     checked = similar_pairs(documents, proposed, nodes.select("doc_id", F.col("same").alias("node")), k, similarity)
     joined = connected_components(materialize(checked, "dedup-links"), "dedup-cc")
     group = F.coalesce("component", "same")

@@ -43,10 +43,19 @@ def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
     return (np.concatenate(used_i), np.concatenate(used_j)) if used_i else (empty, empty)
 
 
-def near(own: np.ndarray, other: np.ndarray, radius: int, inner: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def closest(i: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest d for every value of i."""
+    order = np.lexsort((d, i))
+    start = np.r_[0, np.flatnonzero(np.diff(i[order])) + 1]
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+    return order[rank < k]
+
+
+def near(own: np.ndarray, other: np.ndarray, radius: int, inner: bool = True, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the pairs within ``radius`` bits: of ``own`` [n, w] with
     ``other`` [m, w] and, if ``inner``, with own. Nearest pairs first within a block.
-    Indexes run over own, then other."""
+    Indexes run over own, then other. ``nearest`` adds that many closest pairs of each row
+    of a block, for links that are checked again later."""
     every = np.concatenate([own, other])
     bits = np.bitwise_count(every).sum(1, dtype=np.int32)
     n = len(own)
@@ -66,6 +75,12 @@ def near(own: np.ndarray, other: np.ndarray, radius: int, inner: bool = True) ->
                 far = far + np.bitwise_count(every[block, k][:, None] ^ every[cols, k][None, :])
             r, s = np.nonzero(far <= radius)
             i, j, d = block[r], cols[s], far[r, s]
+            if nearest:
+                other_row = i != j
+                i, j, d = i[other_row], j[other_row], d[other_row]
+                if len(i):
+                    some = np.union1d(closest(i, d, nearest), closest(j, d, nearest))
+                    out.append((i[some], j[some]))
             apart = label[i] != label[j]
             i, j, d = i[apart], j[apart], d[apart]
             for level in np.unique(d):
@@ -76,7 +91,7 @@ def near(own: np.ndarray, other: np.ndarray, radius: int, inner: bool = True) ->
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def links(rows: DataFrame, words: int, radius: int, offsets: list[int], tile: int, purpose: str) -> DataFrame:
+def links(rows: DataFrame, words: int, radius: int, offsets: list[int], tile: int, purpose: str, nearest: int = 0) -> DataFrame:
     """(u, v): links whose components are those of all pairs within ``radius``. ``rows``
     has id (bigint, unique), cell (bigint) and f0..f{words-1} (bigint). ``offsets`` holds 0
     and one of each pair of opposite cell offsets."""
@@ -110,7 +125,7 @@ def links(rows: DataFrame, words: int, radius: int, offsets: list[int], tile: in
         ids = np.concatenate([gather("id", True), gather("id", False)])
         own = np.stack([gather(f, True) for f in fs], axis=1).view(np.uint64)
         other = np.stack([gather(f, False) for f in fs], axis=1).view(np.uint64)
-        i, j = near(own, other, radius, inner=t.column("with")[0].as_py() == 0)
+        i, j = near(own, other, radius, t.column("with")[0].as_py() == 0, nearest)
         return pa.table({"u": ids[i], "v": ids[j]})
 
     both = home.select(*cols).unionByName(away.select(*cols))
