@@ -51,6 +51,11 @@ def sector_codes(names: DataFrame, col: str = "sector_name") -> DataFrame:
     )
 
 
+def sector_aliases(spark: SparkSession) -> DataFrame:
+    """(alias, name) of the known spelling variants."""
+    return spark.createDataFrame(fv.SECTOR_ALIASES, "alias string, name string")
+
+
 def normalize_names(df: DataFrame, col: str, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
     """Resolve ``col``: exact canonical name, then alias, then case-insensitive match,
     else unchanged. ``canonical`` has (name); ``aliases`` has (alias, name)."""

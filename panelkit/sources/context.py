@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from panelkit.functions import fixed_values as fv
 from panelkit.functions.scalar import nan_to_null
 from panelkit.operators.asof import backward_asof, latest_per_date
+from panelkit.operators.dims import normalize_names, sector_aliases
 
 MACRO_SCHEMA = "date date, " + ", ".join(f"{c} double" for c in fv.MACRO_FILE_COLUMNS[1:])
 RATES_SCHEMA = "date date, rate double, change_bps int, source string"
@@ -65,6 +66,11 @@ def read_macro_monthly(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(read_csv(spark, path, MACRO_SCHEMA))
 
 
+def read_macro_wide(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_macro_monthly``, with the further columns that wider files have."""
+    return nan_to_null(read_csv(spark, path, "date date, " + ", ".join(f"{c} double" for c in fv.MACRO_COLUMNS)))
+
+
 def read_holidays(spark: SparkSession, path: str) -> DataFrame:
     """(date) of a list of holidays, one ISO date per line; other lines are left out."""
     lines = read_or_empty(spark, path, "text", "value string")
@@ -87,9 +93,11 @@ def read_events(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     return read_json(spark, path, EVENTS_SCHEMA, lines).select(F.inline("events"))
 
 
-def event_sectors(events: DataFrame) -> DataFrame:
-    """One row per event and named sector."""
-    return events.select("date", "type", "title", F.explode("sectors").alias("sector"), "expected_sign")
+def event_sectors(events: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+    """One row per event and named sector; with a ``canonical`` (name) table, spelling
+    variants become its names."""
+    rows = events.select("date", "type", "title", F.explode("sectors").alias("sector"), "expected_sign")
+    return rows if canonical is None else normalize_names(rows, "sector", canonical, sector_aliases(rows.sparkSession))
 
 
 def read_news(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -125,3 +125,12 @@ def test_zip_and_damaged_archives(spark, tmp_path):
     (tmp_path / "c.gz").write_bytes(gzip.compress(b"five"))
     (tmp_path / "d.zip").write_bytes(b"PK nothing")
     assert sorted(r["line"] for r in feeds.read_archives(spark, str(tmp_path)).collect()) == ["five", "one", "two"]
+
+
+def test_wider_macro_files_and_sector_spellings(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("us_10y,date,kse100\n4.1,2020-01-31,40000\n")
+    row = ctx.read_macro_wide(spark, str(tmp_path / "w.csv")).first()
+    assert (row["us_10y"], row["kse100"], row["trade_balance_mn"]) == (4.1, 40000.0, None)
+    events = spark.createDataFrame([("d", "t", "x", ["Banks", "fertilizer", "Other"], 1.0)], "date string, type string, title string, sectors array<string>, expected_sign double")
+    names = spark.createDataFrame([("Commercial Banks",), ("Fertilizer",)], "name string")
+    assert sorted(r["sector"] for r in ctx.event_sectors(events, names).collect()) == ["Commercial Banks", "Fertilizer", "Other"]
