@@ -17,6 +17,7 @@ score is the share of label 1 (one half if none was seen).
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm.common import balanced_sample, extended, needed
 
-BITS, DIM, FILTERS, WIDTHS = 18, 8, 4, (1, 2, 3)
+BITS, DIM, FILTERS, WIDTHS = 17, 8, 4, (1, 2, 3)
 BUCKETS = 1 << BITS
 #: Tables: two hashes of the word, and one of its first STEM characters.
 TABLES, STEM = 3, 5
@@ -216,11 +217,18 @@ class TextCnn:
         self.slope = float(np.clip(4 / max(1e-6, abs(np.median(z[y == 1]) - self.limits[0])), 0.2, 8))
 
     # ---- scoring
-    def prepare(self) -> None:
+    def prepare(self) -> "TextCnn":
         """Embedding times filter for every bucket: a word then costs a look-up in each."""
         if self.tables is None and self.constant is None:
             cols = np.concatenate([self.w[k][j] for k in WIDTHS for j in range(k)], axis=1)
-            self.tables = [(e @ cols).astype(np.float32) for e in self.e]
+            self.tables = [e.astype(np.float32) @ cols for e in self.e]
+        return self
+
+    def light(self) -> "TextCnn":
+        """A copy to send to the workers: half-precision embeddings, no tables."""
+        other = copy.copy(self)
+        other.e, other.tables = (None if self.constant is not None else self.e.astype(np.float16)), None
+        return other
 
     def logit(self, ids: np.ndarray) -> float:
         h = self.hashed(ids)
@@ -265,12 +273,10 @@ def score(documents: DataFrame, model: TextCnn, threshold: float = 0.7, text: st
     replaced. One pass, no shuffle."""
     keep = [c for c in documents.columns if c not in ("score", "predicted")]
     schema = extended(documents, keep, "score double, predicted int")
-    model.prepare()
-    ready = TextCnn.__new__(TextCnn)  # what scoring needs, and no embeddings
-    ready.tables, ready.b, ready.v, ready.c = model.tables, model.b, model.v, model.c
-    ready.limits, ready.slope, ready.constant = model.limits, model.slope, model.constant
+    sent = model.light()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = sent.prepare()
         for b in batches:
             s = np.array([ready.score(word_ids(t)) for t in b.column(b.schema.get_field_index(text)).to_pylist()])
             cols = [*[b.column(b.schema.get_field_index(k)) for k in keep], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
