@@ -31,7 +31,7 @@ LANG = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']([^\"']*)[\"']"
 
 def named_uuid(*parts: Column) -> Column:
     h = F.md5(F.concat_ws("|", *parts).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ([F.lit("-")] if a > 1 else []) + [F.substring(h, a, n)]], F.lit(">"))
+    return F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 def digest(c: Column) -> Column:
@@ -42,11 +42,11 @@ def plain_text(html: Column) -> Column:
     """Visible text: scripts, styles, comments and tags go, block tags break lines, runs of
     blanks shrink to one."""
     t = F.regexp_replace(html, UNSEEN, " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r\n\f]+", " "), BREAKS, "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"[\t\r\n\f]", " "), BREAKS, "\n")
     t = F.regexp_replace(t, TAGS, "")
     for name, char in ENTITIES.items():
         t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(t, " +", " "), r" ?\n[ \n]*", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, " {2,}", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
 
 
