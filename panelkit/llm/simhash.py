@@ -69,6 +69,11 @@ def fingerprint(h: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
+def exact_copy(text: str | None) -> int:
+    """A hash of the normalised words."""
+    return int.from_bytes(hashlib.blake2b(b" ".join((text or "").encode().lower().split()), digest_size=8).digest(), "big", signed=True)
+
+
 def fingerprints(df: DataFrame, k: int, words: int = 1, text: str = "text", repeats: bool = True) -> DataFrame:
     """(doc_id, f0.., n_shingles distinct, same): ``same`` hashes the normalised words, so
     equal values are exact copies. ``repeats`` tells whether a repeated shingle counts
@@ -84,7 +89,7 @@ def fingerprints(df: DataFrame, k: int, words: int = 1, text: str = "text", repe
                 once = np.unique(h)
                 prints.append(fingerprint(h if repeats else once, words))
                 n.append(len(once))
-                same.append(int.from_bytes(hashlib.blake2b(b" ".join((t or "").encode().lower().split()), digest_size=8).digest(), "big", signed=True))
+                same.append(exact_copy(t))
             cols = [b.column("doc_id"), *[pa.array([p[i] for p in prints], pa.int64()) for i in range(words)], pa.array(n, pa.int64()), pa.array(same, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *fs, "n_shingles", "same"])
 
@@ -115,40 +120,112 @@ def components(documents: DataFrame, k: int = 3, radius: int = 3, tile: int = 16
     return own.join(named, "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_pairs(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets of k-word shingles have at least this Jaccard
-    similarity. ``nodes`` (doc_id, node) names a text for each node."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = materialize(nodes.join(ends, "node"), "similar-ends")
+def similar_links(own: list[np.ndarray], other: list[np.ndarray], prints: np.ndarray, radius: int, similarity: float, inner: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs whose fingerprints (``prints`` [n + m, w], own first) lie
+    within ``radius`` bits and whose sets have at least this Jaccard similarity: of own
+    with own if ``inner``, else of own with other. Every such pair is compared exactly;
+    indexes run over own, then other."""
+    sets, n = own + other, len(own)
+    size = np.array([len(x) for x in sets], np.int64)
+    close = np.arange(len(sets)), []  # components of the pairs within the radius, and the pairs
+    cols = np.arange(n) if inner else np.arange(n, len(sets))
+    for i in range(n):
+        to = cols[cols > i]
+        far = np.bitwise_count(prints[i] ^ prints[to]).sum(1, dtype=np.int32)
+        allowed = np.minimum(size[i], size[to]) >= similarity * np.maximum(size[i], size[to])
+        j = to[(far <= radius) & allowed]
+        if len(j):
+            close[1].append((np.full(len(j), i), j))
+    if not close[1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip(*close[1]))
+    tiles.merge(close[0], i, j)
+    order = np.argsort(close[0][i], kind="stable")
+    i, j = i[order], j[order]
+    both = np.zeros(len(i), np.int64)
+    starts = np.r_[0, np.flatnonzero(np.diff(close[0][i])) + 1, len(i)]
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if b - a == 1:
+            both[a] = len(np.intersect1d(sets[i[a]], sets[j[a]], assume_unique=True))
+        else:
+            rows, at = np.unique(np.r_[i[a:b], j[a:b]], return_inverse=True)
+            both[a:b] = _shared([sets[r] for r in rows], at[: b - a], at[b - a :])
+    holds = both >= similarity * (size[i] + size[j] - both)
+    return tiles.merge(np.arange(len(sets)), i[holds], j[holds])
+
+
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, wide: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of sets i and j. Hashes that the same sets hold count as
+    one with a weight; the sums are products of the membership matrix."""
+    h = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    first = np.r_[True, h[1:] != h[:-1]]
+    token = np.cumsum(first) - 1
+    sign = np.add.reduceat(_mixed(row.astype(np.uint64), 1), np.flatnonzero(first))
+    _, column, weight = np.unique(sign, return_inverse=True, return_counts=True)
+    column = column[token]
+    out = np.zeros((len(sets), len(sets)))
+    for a in range(0, len(weight), wide):
+        at = (column >= a) & (column < a + wide)
+        member = np.zeros((len(sets), min(wide, len(weight) - a)))
+        member[row[at], column[at] - a] = 1
+        out += (member * weight[a : a + wide]) @ member.T
+    return np.rint(out[i, j]).astype(np.int64)
+
+
+def similar(documents: DataFrame, nodes: DataFrame, proposed: DataFrame, k: int, similarity: float, radius: int, tile: int = 512, tile_bytes: int = 16_000_000) -> DataFrame:
+    """(u, v): links whose components are those of all pairs of nodes within ``radius``
+    bits whose sets of k-word shingles have at least this Jaccard similarity.
+
+    ``nodes`` (doc_id, same, f0, f1, n_shingles) names a text for each node; ``proposed``
+    holds a spanning forest of the pairs within the radius. All pairs lie inside its
+    components, so the components are dealt to cells by a hash and a cell is cut into
+    tiles, bounded in rows and in mean bytes; any two tiles of a cell meet in one group.
+    """
+    crowds = connected_components(proposed, "similar-crowds")
+    rows = materialize(nodes.join(crowds, nodes["same"] == crowds["node"]).drop("node"), "similar-rows")
+    cells = max(1, -(-rows.count() // 32))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("component"), F.lit(cells)))
+    sizes = rows.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("n_shingles") * 8 / tile_bytes), F.lit(1)).cast("int").alias("tiles"))
+    placed = rows.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("same"), F.col("tiles")).cast("int"))
+    placed = materialize(placed.select("doc_id", F.col("same").alias("node"), "cell", "part", "tiles", "f0", "f1"), "similar-placed")
+    kept = ["node", "cell", "part", "tiles", "f0", "f1"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [np.unique(shingle_hashes(t, k)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(packed, pa.binary())], names=["node", "h"])
-
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(size_bounded(wanted, BROADCAST_IDS), "doc_id").select("node", "text")
-    one = materialize(texts.mapInArrow(sets, "node long, h binary"), "similar-sets").groupBy("node").agg(F.max("h").alias("h"))
-    one = materialize(one, "similar-one")
-    joined = pairs.join(one.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(one.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            keep = []
-            for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([t.column("u"), t.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+            packed = [np.unique(shingle_hashes(t, k)).tobytes() if exact_copy(t) == s else None for t, s in zip(b.column("text").to_pylist(), b.column("node").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(packed, pa.binary())], names=[*kept, "h"])
+
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(size_bounded(placed, BROADCAST_IDS), "doc_id").select(*kept, "text")
+    one = texts.mapInArrow(sets, "node long, cell long, part int, tiles int, f0 long, f1 long, h binary").filter("h is not null")
+    # a node's rows are copies of one text
+    one = materialize(one.groupBy(*kept).agg(F.max("h").alias("h")), "similar-sets")
+    home = one.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("part")))).withColumn("tpart", F.col("part")).withColumn("own", F.lit(True))
+    away = one.filter("part < tiles - 1").withColumn("tpart", F.explode(F.sequence(F.col("part") + 1, F.col("tiles") - 1))).withColumn("with", F.col("part")).withColumn("own", F.lit(False))
+    cols = ["cell", "tpart", "with", "own", "node", "f0", "f1", "h"]
+
+    def compare(t: pa.Table) -> pa.Table:
+        mine = t.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.r_[np.flatnonzero(mine), np.flatnonzero(~mine)]
+        h = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
+        prints = np.stack([t.column(f).to_numpy() for f in ("f0", "f1")], axis=1).view(np.uint64)[order]
+        node, n = t.column("node").to_numpy()[order], int(mine.sum())
+        inner = t.column("with")[0].as_py() == t.column("tpart")[0].as_py()
+        h = [h[x] for x in order]
+        i, j = similar_links(h[:n], h[n:], prints, radius, similarity, inner)
+        return pa.table({"u": node[i], "v": node[j]})
+
+    return home.select(*cols).unionByName(away.select(*cols)).groupBy("cell", "tpart", "with").applyInArrow(compare, "u long, v long")
 
 
 def deduplicated(documents: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 32, tile: int = 2048) -> DataFrame:
     """The documents without near copies: of every group one stays, the smallest doc_id.
 
-    Exact copies (equal words) collapse first. 128-bit fingerprints within ``radius`` bits
-    propose links, only between texts whose numbers of distinct shingles allow the
-    similarity; proposed links are then checked exactly on the shingle sets. Rows without
+    Exact copies (equal words) collapse first. All pairs of 128-bit fingerprints within
+    ``radius`` bits whose numbers of distinct shingles allow the similarity are checked
+    exactly on the shingle sets; a spanning forest finds where such pairs can be. Rows without
     doc_id can't be named and stay. Of rows that share a doc_id the smallest row stays.
     """
     # `same` names a node: copies share one text, so any of their rows serves
@@ -156,8 +233,8 @@ def deduplicated(documents: DataFrame, k: int = 5, similarity: float = 0.8, radi
     nodes = materialize(own.groupBy("same").agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("f0", "f1", "n_shingles")]), "dedup-nodes")
     step = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / F.log(F.lit(1 / similarity)) + 1e-9)
     rows = nodes.select(F.col("same").alias("id"), step.cast("long").alias("cell"), "f0", "f1")
-    proposed = materialize(tiles.links(rows, 2, radius, [0, 1], tile, "dedup", nearest=2).distinct(), "dedup-proposed")
-    checked = similar_pairs(documents, proposed, nodes.select("doc_id", F.col("same").alias("node")), k, similarity)
+    proposed = materialize(tiles.links(rows, 2, radius, [0, 1], tile, "dedup").distinct(), "dedup-proposed")
+    checked = similar(documents, nodes, proposed, k, similarity, radius)
     joined = connected_components(materialize(checked, "dedup-links"), "dedup-cc")
     group = F.coalesce("component", "same")
     kept = nodes.join(joined, nodes["same"] == joined["node"], "left").groupBy(group.alias("g")).agg(F.min("doc_id").alias("_kept"))

@@ -260,6 +260,23 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert simhash.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_dedup_checks_every_pair_of_a_crowd(spark):
+    rng = np.random.default_rng(12)
+    template = [f"t{i}" for i in range(170)]
+    texts = [template + [f"u{n}_{i}" for i in range(30)] for n in range(700)]  # about 0.7 alike, nearly all within the radius
+    for n in rng.permutation(700)[:80].tolist():
+        texts.append(texts[n][:-3] + [f"c{n}_{i}" for i in range(3)])
+    prints = np.array([simhash.fingerprint(np.unique(simhash.shingle_hashes(" ".join(t), 5)), 2) for t in texts]).view(np.uint64)
+    far = np.concatenate([np.bitwise_count(prints[i] ^ prints[i + 1 :]).sum(1) for i in range(len(texts))])
+    assert np.mean(far <= 32) > 0.9
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 32 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = set(brute.components(range(len(texts)), near).values())
+    assert len(texts) - len(want) >= 75
+    df = docs(spark, [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)])
+    assert {r.doc_id for r in simhash.deduplicated(df).collect()} == want
+
+
 # ---- mixing
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_gives_the_same_rows(spark, name):
