@@ -23,12 +23,28 @@ ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", (229, 319)
 
 EMAIL = r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Account lengths by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT",
+}
+
+
+def _account(length: int) -> str:
+    tail = (length - 4) % 4
+    return f"(?:{'|'.join(IBAN_LENGTHS[length].split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(length - 4) // 4}}}" + (f" ?[A-Z0-9]{{{tail}}}" if tail else "") + "(?![A-Za-z0-9])"
+
+
+IBAN = rf"(?<![A-Za-z0-9])(?:{'|'.join(map(_account, IBAN_LENGTHS))}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
 PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-DATE = r"(?<![0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9])"
+DATE = r"(?<![0-9.-])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9-])|(?<![0-9./])[0-9]{1,2}(?:/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4}(?![0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])"
+_GROUP = "[0-9]++(?![A-Za-z])"
+#: A chain of digit groups, in which cards are looked for; it ends before other values.
+CARD = rf"(?<![0-9A-Za-z.-])(?=[0-9](?:[ -]?[0-9]){{12}}){_GROUP}(?:[ -](?!{'|'.join([PHONE, SSN, DATE, ADDRESS])}){_GROUP})*+"
+#: Lengths of the groups that cards are written in.
+GROUPED = "^(?:1[3-9]|4-4-4-4(?:-[123])?|4-6-[45])$"
 ANY = "|".join([EMAIL, IBAN, PHONE, SSN, DATE, ADDRESS, CARD])
 KINDS = ("email", "iban", "phone", "ssn", "date", "address", "card")
 
@@ -104,16 +120,43 @@ def _mod97(s: str) -> str:
     return f"aggregate(split({s}, ''), 0, (n, c) -> case when c between '0' and '9' then (n * 10 + ascii(c) - 48) % 97 else (n * 100 + ascii(c) - 55) % 97 end)"
 
 
+def _valid_card(d: str) -> str:
+    return f"(length({d}) between 13 and 19 and {_luhn(f'substr({d}, 1, length({d}) - 1)')} = substr({d}, -1))"
+
+
 def _card(key: str) -> str:
+    """The whole chain if it is one card. Otherwise the runs of groups that are valid, from
+    the left: one in a usual grouping first, then the longest other that crosses none."""
     new = _let(f"concat(substr(d, 1, 1), {permuted('substr(d, 2, length(d) - 2)', 'concat(substr(d, 1, 1), chr(99))', key)})", "p", f"concat(p, {_luhn('p')})")
-    return _let(_digits("m"), "d", f"if({_luhn('substr(d, 1, length(d) - 1)')} = substr(d, -1), {_let(new, 'q', _refilled('m', 'q'))}, m)")
+    digits = "array_join(slice(g, a + 1, e - a + 1), '')"
+    # a group's candidates: the group they end with and whether the grouping is usual
+    ends = f"filter(sequence(a, cast(least(a + 18, size(g) - 1) as int)), e -> {_let(digits, 'd', _valid_card('d'))})"
+    usual = f"array_join(transform(slice(g, a + 1, e - a + 1), w -> length(w)), '-') rlike '{GROUPED}'"
+    runs = f"transform(sequence(0, size(g) - 1), a -> transform({ends}, e -> named_struct('e', e, 'u', {usual})))"
+    own = "element_at(filter(r[a], x -> x.u), 1).e"
+    other = "array_max(transform(filter(r[a], x -> x.e = a or not exists(slice(r, a + 2, x.e - a), y -> exists(y, z -> z.u))), x -> x.e))"
+    taken = "if(e is null, acc, named_struct('n', e + 1, 'o', array_append(acc.o, named_struct('a', a, 'e', e))))"
+    step = f"if(a < acc.n, acc, {_let(f'coalesce(if(exists(r[a], x -> x.u), {own}, null), {other})', 'e', taken)})"
+    chosen = f"aggregate(sequence(0, size(g) - 1), named_struct('n', 0, 'o', cast(array() as array<struct<a:int,e:int>>)), (acc, a) -> {step}, acc -> acc.o)"
+    # each run in its own format, after the groups since the run before
+    run = _let("array_join(slice(h, x.a + 1, x.e - x.a + 1), '')", "m", _let(_digits("m"), "d", _let(new, "q", _refilled("m", "q"))))
+    since = "if(i = 0, 0, get(c, i - 1).e + 1)"
+    pieces = f"transform(c, (x, i) -> concat(array_join(slice(h, {since} + 1, x.a - {since}), ''), {run}))"
+    changed = f"concat(array_join({pieces}, ''), array_join(slice(h, element_at(c, -1).e + 2, size(h)), ''))"
+    groups = "split(m, '[ -]')"
+    parts = _let("regexp_extract_all(m, '[0-9]+[ -]?', 0)", "h", _let(runs, "r", _let(chosen, "c", f"if(size(c) = 0, m, {changed})")))
+    return _let(_digits("m"), "d", f"if({_valid_card('d')}, {_let(new, 'q', _refilled('m', 'q'))}, {_let(groups, 'g', parts)})")
 
 
 def _iban(key: str) -> str:
+    """The whole match, or its longest valid beginning before a space."""
     body = permuted("substr(d, 5)", "concat(substr(d, 1, 2), chr(98))", key)
     check = f"lpad(cast(98 - {_mod97('concat(p, substr(d, 1, 2), chr(48), chr(48))')} as string), 2, '0')"
     new = _let(body, "p", f"concat(substr(d, 1, 2), {check}, p)")
-    return _let("replace(m, ' ', '')", "d", f"if({_mod97('concat(substr(d, 5), substr(d, 1, 4))')} = 1, {_let(new, 'q', _refilled('m', 'q'))}, m)")
+    valid = _let("replace(x, ' ', '')", "d", f"length(d) >= 12 and {_mod97('concat(substr(d, 5), substr(d, 1, 4))')} = 1")
+    begins = "transform(sequence(0, length(m) - length(replace(m, ' ', ''))), k -> substring_index(m, ' ', cast(length(m) - length(replace(m, ' ', '')) + 1 - k as int)))"
+    one = _let("replace(v, ' ', '')", "d", f"concat({_let(new, 'q', _refilled('v', 'q'))}, substr(m, length(v) + 1))")
+    return _let(f"get(filter({begins}, x -> {valid}), 0)", "v", f"if(v is null, m, {one})")
 
 
 def _phone(key: str) -> str:
@@ -132,13 +175,14 @@ def _ssn(key: str) -> str:
 
 
 def _date(key: str) -> str:
-    """ISO, month/day/year and day.month.year."""
-    day = "try_to_date(m, case when m like '%-%' then 'yyyy-MM-dd' when m like '%/%' then 'MM/dd/yyyy' else 'dd.MM.yyyy' end)"
-    shown = "if(m like '%-%', date_format(e, 'yyyy-MM-dd'), if(m like '%/%', date_format(e, 'MM/dd/yyyy'), date_format(e, 'dd.MM.yyyy')))"
+    """ISO, month/day/year, day/month/year where the first can't be a month, and
+    day.month.year; one-digit parts stay without a leading zero."""
+    form = "case when m like '%-%' then 'yyyy-M-d' when m not like '%/%' then 'd.M.yyyy' when cast(substring_index(m, '/', 1) as int) > 12 then 'd/M/yyyy' else 'M/d/yyyy' end"
     a, b = DAYS
     n = f"datediff(t, date'{FIRST_DAY}')"
+    shown = "date_format(e, if(m rlike '(?<![0-9])[0-9](?![0-9])', f, replace(replace(f, 'M', 'MM'), 'd', 'dd')))"
     new = _let(_feistel(f"{n} div {b}", f"{n} % {b}", str(a), str(b), "'date'", key), "z", _let(f"date_add(date'{FIRST_DAY}', cast(z.l * {b} + z.r as int))", "e", shown))
-    return _let(day, "t", f"if(t between date'{FIRST_DAY}' and date'2099-12-31', {new}, m)")
+    return _let(form, "f", _let("try_to_date(m, f)", "t", f"if(t between date'{FIRST_DAY}' and date'2099-12-31', {new}, m)"))
 
 
 def _address(key: str) -> str:

@@ -118,6 +118,31 @@ def test_pseudonyms_on_the_tables(spark, sf_dir, small):
     assert all(after[i] == t for i, t in before.items() if i not in touched and not re.search(r"\d{2}", t or ""))
 
 
+def test_pseudonyms_of_values_beside_other_numbers(spark):
+    import re
+
+    card, es = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    beside = [f"{card} 12/27", "4111111111111111 123", f"12 {card}", f"2024 11 05 {card}", f"{card} 5500 0000 0000 0004", f"{card} 123-45-6789", f"{card} 70.123.182.155", f"{es} BIC", "ES9121000418450200051332 EUR", f"{es} {card}", f"{es} DE89 3704 0044 0532 0130 00", "25/03/2020", "3/5/2020", "25.3.2020", "2020-3-5", "41111111 11111111"]
+    secret = [card, card.replace(" ", ""), "5500 0000 0000 0004", "123-45-6789", "70.123.182.155", es, es.replace(" ", ""), "DE89 3704 0044 0532 0130 00", "25/03/2020", "3/5/2020", "25.3.2020", "2020-3-5", "41111111 11111111"]
+    rows = [(i, f"see {t}, ok") for i, t in enumerate(beside)]
+    rows += [(100, "2020-03-25 25/03/2020 25.3.2020 03/25/2020"), (101, "13/13/2020 32.1.2020 4111 1111 1111 1112 7")]
+    out = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(beside):
+        assert not [v for v in secret if v in out[i].text], out[i].text
+        assert re.sub("[0-9]+", "#", out[i].text) == re.sub("[0-9]+", "#", f"see {t}, ok") or "/20" in t or ".20" in t or "-3-" in t, out[i].text
+    first = out[0].text[4:23]
+    assert luhn(first.replace(" ", "")) and out[0].text == f"see {first} 12/27, ok" and out[2].text == f"see 12 {first}, ok" and out[3].text == f"see 2024 11 05 {first}, ok"
+    assert out[1].text == f"see {first.replace(' ', '')} 123, ok" and out[7].text.endswith(" BIC, ok") and out[8].text.endswith(" EUR, ok") and out[9].text.endswith(f" {first}, ok") and out[4].n_card >= 1
+    assert out[7].text[4:33].replace(" ", "") == out[8].text[4:28]
+    iso, slash, dot, us = out[100].text.split()
+    y, m, d = iso.split("-")
+    assert slash == f"{d}/{m}/{y}" and dot == f"{int(d)}.{int(m)}.{y}" and us == f"{m}/{d}/{y}" and iso != "2020-03-25"
+    assert out[101].text == rows[-1][1]
+    long = "7" * 300_000 + " x " + "1234 " * 2000 + f"{card} x"
+    got = pii.pseudonymised(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().text
+    assert card not in got and len(got) == len(long) and got.startswith("7" * 300_000 + " x ")
+
+
 # ---- secrets
 def test_secrets_places_masks_and_false_positives(spark):
     rows = [(i, f"text {i} password=fc47742861f314be{i:02d} more", "src") for i in range(20)]
