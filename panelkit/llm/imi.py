@@ -121,7 +121,7 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = 20, k: int
             first_block[c] = at
             held += n
     blocks_of = {c: list(range(first_block[c], first_block[c] + parts[c])) for c in np.flatnonzero(counts).tolist()}
-    enough = share * counts.sum()
+    enough = max(share * counts.sum(), neighbours + 1)  # the query's own row too
     grid = counts.reshape(shape)
     asked = index.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
     tiles = max(1, -(-asked.count() // tile))

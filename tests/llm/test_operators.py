@@ -224,6 +224,16 @@ def test_search_small_and_empty(spark):
     assert imi.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 18, 26])
+def test_search_of_few_vectors_gives_all_places(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = [r.vec_id for r in imi.search(df).filter("query_id = 0").orderBy("rank").collect()]
+    assert len(got) == len(set(got)) == min(20, n - 1) and 0 not in got
+    if n <= 21:
+        assert got == sorted(range(1, n), key=lambda i: -(x[0] @ x[i]))
+
+
 def test_heap_visits_in_order():
     rng = np.random.default_rng(2)
     f, s, counts = rng.normal(size=6), rng.normal(size=5), rng.integers(0, 4, (6, 5))
