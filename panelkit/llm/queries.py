@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, gam, imi, lsh, mixing, pii, secrets, simhash, toxicity, warc
+from panelkit.llm import bpe, divergence, gam, imi, lsh, mixing, periodic, pii, secrets, simhash, toxicity, urlfilter, warc
 from panelkit.llm.common import remainder, table
 
 
@@ -58,11 +58,25 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.standard_rules(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digests(periodic.with_runs(docs), "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_secrets, op4_ann, op5_mix, op6_quality, op7_toxicity, op8_simhash, op9_warc, op10_near_vectors, pipeline)}
-ORACLES = {"op5_mix": mixing.MIX_SQL, "op9_warc": warc.DERIVATIVES_SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_secrets, op4_ann, op5_mix, op6_quality, op7_toxicity, op8_simhash, op9_warc, op10_near_vectors, op11_url_rules, op12_source_audit, op13_periodic_runs, pipeline)}
+ORACLES = {"op5_mix": mixing.MIX_SQL, "op9_warc": warc.DERIVATIVES_SQL, "op11_url_rules": urlfilter.JUDGE_SQL, "op12_source_audit": divergence.AUDIT_SQL}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -87,3 +90,84 @@ def vector_links(rows: list[tuple], cosine: float = 0.9) -> dict:
     comp = components([i for i, _ in rows], [(ids[x], ids[y]) for x, y in zip(a, b)])
     n = dict(zip(ids, hit.sum(1).tolist()))
     return {i: (n.get(i, 0), comp[i], comp[i] == i) for i, _ in rows}
+
+
+def planted_tail(doc_id, text: str | None) -> list[bytes]:
+    """The words of a document after the contract's rewriting, word by word."""
+    w = (text or "").encode().split()
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    n, g = len(w), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def periodic_runs(w: list, least: int = 12) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all runs, by looking at every lag at every word."""
+    n, best = len(w), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i < n - q:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j < n - q and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(least, 2 * q):
+                best.setdefault((i, j + q), q)
+            i = j
+    return sorted(((s, e - s, q) for (s, e), q in best.items()), key=lambda r: (r[0], r[2]))
+
+
+def run_row(w: list[bytes]) -> tuple:
+    runs = periodic_runs(w)
+    kept = [True] * len(w)
+    for s, n, q in runs:
+        for i in range(s + q, s + n):
+            kept[i] = False
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    longest = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else None
+    four = (*longest, 1000 * longest[1] // longest[2]) if longest else (None,) * 4
+    return (len(runs), *four, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs).encode()), sha(b" ".join(x for x, k in zip(w, kept) if k)))
+
+
+def divergences(docs: list[tuple], least: int = 3, ranks: int = 200) -> set:
+    """Rows of the source audit from (text, lang, source), term by term."""
+    docs = [tuple(x or "" for x in d) for d in docs]
+    terms = [re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)})) for t, _, _ in docs]
+    df, n = Counter(), Counter()
+    for (_, lang, source), ts in zip(docs, terms):
+        df.update((lang, t) for t in set(ts))
+        n.update((lang, source, t) for t in ts)
+    out = set()
+    for lang in {d[1] for d in docs}:
+        kept = [t for (x, t), k in df.items() if x == lang and k >= least]
+        groups = {d[2] for d in docs if d[1] == lang}
+        count = {s: {t: n[lang, s, t] for t in kept} for s in groups}
+        whole = {t: sum(count[s][t] for s in groups) for t in kept}
+
+        def shares(c):
+            return {t: 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept)) for t in kept}
+
+        f = lambda p, q: (p - q) * (p - q) // q
+        p, q = {s: shares(count[s]) for s in groups}, shares(whole)
+        for s in groups:
+            pair = sorted((-sum(f(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in groups - {s})
+            term = sorted((-f(p[s][t], q[t]), t.encode(), t) for t in kept if count[s][t] and p[s][t] > q[t])[:ranks]
+            out |= {(lang, s, part, item, -v, k) for part, rows in (("pair", pair), ("term", term)) for k, (v, _, item) in enumerate(rows, 1)}
+    return out
+
+
+def url_verdict(url: str | None, rules: list[tuple], default: str = "allow") -> tuple:
+    """(host, path, rule, verdict) by trying every rule."""
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate({c: c + 32 for c in range(65, 91)})
+    fit = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[2:] if fit else (None, default)))
