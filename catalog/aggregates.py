@@ -343,11 +343,16 @@ def _(c):
 
 NOT_NULL = " and ".join(f"{f} is not null" for f in PANEL_FEATURES)
 RULE_LONG = f"(select ym, symbol, date, score, h, case h when 1 then fwd_1 when 2 then fwd_2 else fwd_3 end as fwd from (select ym, symbol, date, fwd_1, fwd_2, fwd_3, {RULE} as score from eligible where {NOT_NULL} window w as (partition by ym)) q, (values (1),(2),(3)) v(h))"
-SCORED_MONTHS = f"""select z.h, z.ym, z.top, z.uni, z.bot, i.ic, z.prec, z.top - z.uni as spread from (
+
+def scored_months_sql(rows: str, skip: int) -> str:
+    """The months of scored rows (ym, symbol, score, h, fwd) in SQL."""
+    return f"""select z.h, z.ym, z.top, z.uni, z.bot, i.ic, z.prec, z.top - z.uni as spread from (
  select h, ym, avg(fwd) filter (t <= 5) as top, avg(fwd) as uni, avg(fwd) filter (b <= 5) as bot, count(*) filter (t <= 5 and fwd is not null and best <= 5) / 5.0 as prec, count(*) as nt, count(fwd) as ne, dense_rank() over (partition by h order by ym) as i from (
-  select *, row_number() over (partition by h, ym order by score desc nulls last, symbol) as t, row_number() over (partition by h, ym order by score asc nulls last, symbol) as b, row_number() over (partition by h, ym order by fwd desc nulls last, symbol) as best from {RULE_LONG} l) y group by 1, 2) z
- join ({ic_sql(RULE_LONG + ' l', 'score')}) i on z.h = i.h and z.ym = i.ym where nt >= 10 and ne >= 10 and i > 12"""
-SCORED_MONTHS = SCORED_MONTHS.replace("and i > 12", "and z.i > 12")
+  select *, row_number() over (partition by h, ym order by score desc nulls last, symbol) as t, row_number() over (partition by h, ym order by score asc nulls last, symbol) as b, row_number() over (partition by h, ym order by fwd desc nulls last, symbol) as best from {rows} l) y group by 1, 2) z
+ join ({ic_sql(rows + ' l', 'score')}) i on z.h = i.h and z.ym = i.ym where nt >= 10 and ne >= 10 and z.i > {skip}"""
+
+
+SCORED_MONTHS = scored_months_sql(RULE_LONG, 12)
 
 
 def rule_scored(c):
@@ -364,12 +369,19 @@ def _(c):
     return rule_months(c)
 
 
-@query("d34_score_evaluation", f"""with recursive sm as materialized ({SCORED_MONTHS}), {spaced('sm')},
+def evaluation_sql(months: str) -> str:
+    """The summary of scored months in SQL."""
+    return f"""with recursive sm as materialized ({months}), {spaced('sm')},
  e as (select sm.h, pow(exp(sum(ln(1 + top - 0.005))), 12.0 / sm.h / count(*)) - 1 as ann_top_net from sm join sp on sm.h = sp.h and year(ym)*12+month(ym) = sp.x group by 1),
  g as (select h, count(*) as n_months, avg(ic) as ic_mean, avg(ic)/(stddev_samp(ic)+1e-9)*sqrt(count(*)) as ic_t, avg(top) as top_avg_fwd, avg(uni) as universe_avg_fwd, avg(bot) as bottom_avg_fwd, avg(spread) as spread, avg((spread > 0)::int) as hit_rate,
   avg(prec) as precision_at_k, exp(avg(ln(1+uni)) * 12 / h) - 1 as ann_universe, avg(spread) filter (k <= 18) as recent_spread, avg((spread > 0)::int) filter (k <= 18) as recent_hit from (select *, row_number() over (partition by h order by ym desc) as k from sm) q group by h)
- select cast(g.h as int) as H, g.* exclude (h), ann_top_net, case when ic_t >= 2 and hit_rate >= 0.55 and spread > 0.005 then 'reliable' when spread > 0 and ic_t >= 1 then 'weak' else 'not_reliable' end as verdict from g join e on g.h = e.h""",
-       "ic_mean ic_t top_avg_fwd universe_avg_fwd bottom_avg_fwd spread hit_rate precision_at_k ann_universe recent_spread recent_hit ann_top_net")
+ select cast(g.h as int) as H, g.* exclude (h), ann_top_net, case when ic_t >= 2 and hit_rate >= 0.55 and spread > 0.005 then 'reliable' when spread > 0 and ic_t >= 1 then 'weak' else 'not_reliable' end as verdict from g join e on g.h = e.h"""
+
+
+EVALUATED = "ic_mean ic_t top_avg_fwd universe_avg_fwd bottom_avg_fwd spread hit_rate precision_at_k ann_universe recent_spread recent_hit ann_top_net"
+
+
+@query("d34_score_evaluation", evaluation_sql(SCORED_MONTHS), EVALUATED)
 def _(c):
     return E.score_summary(rule_months(c))
 

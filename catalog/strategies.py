@@ -7,12 +7,12 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from catalog.aggregates import KEYWORDS, NOT_NULL, RULE, RULE_LONG, TAGGED, _FEATS, rule_months, tagged
+from catalog.aggregates import EVALUATED, KEYWORDS, NOT_NULL, RULE, RULE_LONG, TAGGED, _FEATS, evaluation_sql, rounded, rule_months, scored_months_sql, tagged
 from catalog.joins import FOLD_ROWS
 from catalog.registry import MIN_ADV, query
 from panelkit.functions import fixed_values as fv
 from panelkit.plans import evaluate as E
-from panelkit.plans import models, panels, report, rules
+from panelkit.plans import impute, models, panels, report, ridge, rules
 from panelkit.session import shared_dir
 from panelkit.sources import sinks
 
@@ -165,6 +165,72 @@ def _(c):
     return E.rotation_summary(E.scored_months(scored, k=3), c.m.macro)
 
 
+# ---- the same folds by ridge regression, fitted again in SQL
+D = len(fv.PANEL_FEATURES)
+RIDGE_ROWS = f"select m, symbol, ym, [1.0, {', '.join(f'cast({f} as double)' for f in fv.PANEL_FEATURES)}] as x, unnest([1, 2, 3]) as h, unnest([fwd_1, fwd_2, fwd_3]) as fwd from {FOLD_ROWS} q"
+
+
+def solved_sql(sums: str) -> str:
+    """(h, fold, n, base, mean, sd, weight) from sums of products (h, fold, i, j, s), i <= j,
+    of (1, features, outcome): standardised, penalised, and eliminated row by row."""
+    d = D + 2
+    return f"""with recursive s as materialized ({sums}),
+ one as materialized (select h, fold, max(s) filter (i = 1 and j = 1) as n, list(s order by j) filter (i = 1) as first, list(s order by i) filter (i = j) as diagonal from s group by h, fold),
+ cov as materialized (select s.h, s.fold, i, j, s / n - first[i] / n * first[j] / n as c from s join one o on s.h = o.h and s.fold = o.fold),
+ dev as materialized (select h, fold, list(case when c > {ridge.FLAT} * sq then sqrt(c) else 0.0 end order by i) as sd from (
+  select c.*, diagonal[i] / n as sq from cov c join one o on c.h = o.h and c.fold = o.fold where i = j and i between 2 and {d - 1}) q group by h, fold),
+ cell as (select v.h, v.fold, a, b, case when sd[a] > 0 and b <= {D} and sd[b] > 0 then c / sd[a] / sd[b] when sd[a] > 0 and b > {D} then c / sd[a] else 0.0 end + case when a = b then {ridge.LAMBDA} else 0.0 end as v
+  from (select h, fold, i - 1 as a, j - 1 as b, c from cov where i >= 2 and i < {d} union all select h, fold, j - 1, i - 1, c from cov where i >= 2 and j > i and j < {d}) v join dev on v.h = dev.h and v.fold = dev.fold),
+ system as materialized (select h, fold, list(line order by a) as lines from (select h, fold, a, list(v order by b) as line from cell group by h, fold, a) q group by h, fold),
+ step as (
+  select h, fold, 0 as k, lines from system
+  union all
+  select h, fold, k + 1, list_transform(lines, lambda line, a: case when a = k + 1 then lead_row else list_transform(line, lambda v, b: v - line[k + 1] * lead_row[b]) end)
+  from (select h, fold, k, lines, list_transform(lines[k + 1], lambda v: v / lines[k + 1][k + 1]) as lead_row from step where k < {D}) q)
+ select o.h, o.fold, cast(round(n) as bigint) as n, first[{d}] / n as base, list_transform(first[2:{d - 1}], lambda v: v / n) as mean, sd, list_transform(lines, lambda line: line[{D + 1}]) as weight
+ from one o join dev on o.h = dev.h and o.fold = dev.fold join step on o.h = step.h and o.fold = step.fold and k = {D}"""
+
+
+PRODUCTS = f"(select h, m, i, j, sum(z[i] * z[j]) as s from (select h, m, list_append(x, fwd) as z from ({RIDGE_ROWS}) q where fwd is not null) r, (select unnest(range(1, {D + 3})) as i) a, (select unnest(range(1, {D + 3})) as j) b where i <= j group by all)"
+RIDGE_FITS = solved_sql(f"select f.H as h, f.fold, i, j, sum(s) as s from ({folds_sql(FOLD_ROWS, 30, 300, 10, 5)}) f join {PRODUCTS} p on p.h = f.H and p.m <= f.fold - f.H group by all")
+LINEAR = "base + list_sum(list_transform(range(1, {d} + 1), lambda i: case when sd[i] > 0 then weight[i] * (x[i + 1] - mean[i]) / sd[i] else 0.0 end))".replace("{d}", str(D))
+RIDGE_SCORED = f"(select r.h, r.ym, r.symbol, r.m as fold, {LINEAR} as score, r.fwd from ({RIDGE_ROWS}) r join ({RIDGE_FITS}) f on f.h = r.h and f.fold = r.m)"
+NAMES = "[" + ", ".join(f"'{f}'" for f in fv.PANEL_FEATURES) + "]"
+
+
+def ridge_fits(c):
+    return _once(c, "ridge_fits", lambda: ridge.walk_forward_fits(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, 30, 300, 10))
+
+
+def ridge_scored(c):
+    return _once(c, "ridge_scored", lambda: ridge.scored(c.m.eligible, ridge_fits(c), fv.PANEL_FEATURES, HORIZONS))
+
+
+@query("h8_ridge_weights", f"select cast(h as int) as H, fold, n, unnest({NAMES}) as feature, unnest(weight) as weight from ({RIDGE_FITS}) q", "weight")
+def _(c):
+    return ridge.weights(ridge_fits(c)).select("H", "fold", "n", "feature", "weight")
+
+
+@query("h8_ridge_scores", f"select cast(h as int) as H, fold, ym, symbol, score, fwd from {RIDGE_SCORED} q", "score fwd")
+def _(c):
+    return ridge_scored(c)
+
+
+@query("h8_ridge_walk_forward", evaluation_sql(scored_months_sql(RIDGE_SCORED, 0)), EVALUATED)
+def _(c):
+    return E.score_summary(E.scored_months(rounded(ridge_scored(c), "score", "fwd"), k=5))
+
+
+RIDGE_TEST = f"""with l as materialized ({RIDGE_ROWS}), cut as (select min(m) as m from (select distinct year(ym)*12+month(ym) as m from eligible where fwd_1 is not null order by m desc limit 18) q)"""
+
+
+@query("h9_ridge_importance", f"""{RIDGE_TEST}, f as materialized ({solved_sql(f"select h, 0 as fold, i, j, sum(s) as s from {PRODUCTS} p where h = 1 and m < (select min(m) from (select distinct year(ym)*12+month(ym) as m from eligible where fwd_1 is not null order by m desc limit 18) q) - 1 group by all")}),
+ t as (select fwd as y, fwd - ({LINEAR}) as e, unnest({NAMES}) as feature, unnest(x[2:]) as v, unnest(list_transform(range(1, {D} + 1), lambda i: case when sd[i] > 0 then weight[i] / sd[i] else 0.0 end)) as b from l, f where l.h = 1 and fwd is not null and m >= (select m from cut))
+ select feature, (2 * any_value(b) * covar_pop(e, v) + 2 * any_value(b) * any_value(b) * var_pop(v)) / var_pop(y) as importance from t group by feature""", "importance")
+def _(c):
+    return ridge.expected_importance(*ridge.held_out_fit(c.m.eligible, fv.PANEL_FEATURES, 1))
+
+
 @query("h9_shuffled_copies", f"""with l as (select *, year(ym)*12+month(ym) as m from eligible where fwd_1 is not null), cut as (select min(m) as m from (select distinct m from l order by m desc limit 18) q),
  t as (select * from l where m >= (select m from cut) and {NOT_NULL})
  select feature, cast(rep as int) as rep, count(*) as n from t, (values {", ".join(f"('{f}')" for f in fv.PANEL_FEATURES)}) f(feature), (select unnest(range(5)) as rep) r group by 1, 2""")
@@ -214,9 +280,36 @@ def _(c):
     return models.current_picks(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, FAST, 5, ym=F.lit(PICK_MONTH).cast("date")).select("H", "ym", "rank")
 
 
+def live(c):
+    return _once(c, "live", lambda: impute.live_rows(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, F.lit(PICK_MONTH).cast("date")))
+
+
+LIVE_AT = f"year(date '{PICK_MONTH}')*12+month(date '{PICK_MONTH}')"
+LIVE = f"(select *, year(ym)*12+month(ym) <= {LIVE_AT} - h and fwd is not null as is_train from (select ym, symbol, {_FEATS}, unnest([1, 2, 3]) as h, unnest([fwd_1, fwd_2, fwd_3]) as fwd from eligible) q where (year(ym)*12+month(ym) <= {LIVE_AT} - h and fwd is not null) or ym = date '{PICK_MONTH}')"
+LIVE_LONG = f"(select h, symbol, is_train, unnest({NAMES}) as feature, unnest([{', '.join(fv.PANEL_FEATURES)}]) as v from {LIVE} q)"
+LIVE_MEDIANS = f"(select h, feature, quantile_cont(v, 0.5) as median from {LIVE_LONG} q where is_train and v is not null group by 1, 2)"
+
+
+@query("h10_live_candidates", f"select h as H, count(*) filter (is_train) as n_train, count(*) filter (not is_train) as n_candidates, count(*) filter (not is_train and not ({NOT_NULL})) as n_incomplete, count(*) filter (is_train) >= 200 and count(*) filter (not is_train) >= 5 as sufficient from {LIVE} q group by 1")
+def _(c):
+    return impute.candidate_counts(live(c), fv.PANEL_FEATURES, 5, 200)
+
+
+@query("h10_live_medians", f"select h as H, feature, median from {LIVE_MEDIANS} q", "median")
+def _(c):
+    return impute.fitted_medians(live(c), fv.PANEL_FEATURES)
+
+
+@query("h10_live_imputed", f"select l.h as H, symbol, l.feature, coalesce(v, median, 0.0) as value, v is null as missing from {LIVE_LONG} l left join {LIVE_MEDIANS} m on m.h = l.h and m.feature = l.feature where not is_train", "value")
+def _(c):
+    done = impute.filled(live(c), impute.fitted_medians(live(c), fv.PANEL_FEATURES), fv.PANEL_FEATURES).filter("not is_train")
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), (F.col(f"{f}_missing") == 1).alias("missing")) for f in fv.PANEL_FEATURES])
+    return done.select("H", "symbol", F.inline(cells))
+
+
 @query("h10_model_picks_live")
 def _(c):
-    picks = models.current_picks(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, FAST, 5, ym=F.lit(PICK_MONTH).cast("date"))
+    picks = impute.live_picks(c.m.eligible, fv.PANEL_FEATURES, HORIZONS, FAST, 5, ym=F.lit(PICK_MONTH).cast("date"))
     entry = c.m.eligible.select("ym", "symbol", F.col("date").alias("entry_date"))
     return rules.mark_to_latest(picks.join(entry, ["ym", "symbol"]), c.m.prices, keep_unmarked=True)
 

@@ -284,8 +284,8 @@ def _(c):
 def _(c):
     from panelkit.plans.drivers import pick_windows
 
-    picks = c.m.eligible.filter("fwd_1 is not null").select("ym", "symbol", "date")
-    return pick_windows(c.m.prices, 21).join(picks, ["symbol", "date"]).select("ym", "symbol", "maxday", "volspike", "n_after", "peak_month")
+    picks = c.m.eligible.filter("fwd_1 is not null").select("ym", "symbol", "date", "pos")
+    return pick_windows(picks, c.m.prices, 21).join(picks, ["symbol", "date"]).select("ym", "symbol", "maxday", "volspike", "n_after", "peak_month")
 
 
 @query("e32_sector_month_panel", "select * from sector_panel", " ".join([*fv.SECTOR_FEATURES, "fwd_1", "fwd_2", "fwd_3"]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import stats as S
 from panelkit.operators.clean import is_liquid
+from panelkit.operators.selection import medians
 
 
 def market_index(prices: DataFrame, min_adv: float, start: str | None = None) -> DataFrame:
@@ -36,8 +37,8 @@ def from_date(df: DataFrame, start: str | None) -> DataFrame:
 
 
 def group_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Median per group; Spark merges partial value counts, not rows."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(S.median(value).alias(out))
+    """Median per group, exact and split: no task holds a group."""
+    return medians(df, keys, value, out)
 
 
 def abnormal_returns(sector_daily: DataFrame, market: DataFrame) -> DataFrame:

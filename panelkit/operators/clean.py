@@ -34,10 +34,10 @@ def add_returns(df: DataFrame) -> DataFrame:
 
 
 def add_history(df: DataFrame) -> DataFrame:
-    """Cumulative log return and 20-row median traded value per symbol, over one
-    exchange and sort on (symbol, date)."""
+    """Row number, cumulative log return and 20-row median traded value per symbol, over
+    one exchange and sort on (symbol, date)."""
     w = R.symbol_window()
-    df = df.withColumns({"cumlog": R.running_sum("logr", w), "_v20": R.frame_values("value", 20, w)})
+    df = df.withColumns({"pos": F.row_number().over(w), "cumlog": R.running_sum("logr", w), "_v20": R.frame_values("value", 20, w)})
     return R.add_medians(df, {"adv_20": ("_v20", 5)})
 
 

@@ -25,14 +25,17 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], purpose: st
     zero = F.lit(0).cast("long")
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.groupBy("_part", *keys).agg(*[F.sum(n).alias(f"_s_{n}") for n in values])
-    starts = totals.select("_part", *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.coalesce(F.sum(f"_s_{n}").over(earlier), zero).alias(f"_s_{n}") for n in values])
+    starts = totals.select(F.col("_part").alias("_part0"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in values])
+    # only a group that continues from an earlier partition has a start; a border between
+    # two partitions splits one group at most, so these rows are fewer than the partitions
+    starts = F.broadcast(starts.filter(F.col(f"_s_{next(iter(values))}").isNotNull()))
     same = F.col("_part") == F.col("_part0")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = parts.withColumns({n: F.coalesce(F.sum(n).over(inside), zero) for n in values})
-    joined = summed.join(starts.withColumnRenamed("_part", "_part0"), same)
-    return joined.withColumns({n: F.col(n) + F.col(f"_s_{n}") for n in values}).drop("_part", "_part0", *[f"_k_{k}" for k in keys], *[f"_s_{n}" for n in values])
+    joined = summed.join(starts, same, "left")
+    return joined.withColumns({n: F.col(n) + F.coalesce(f"_s_{n}", zero) for n in values}).drop("_part", "_part0", *[f"_k_{k}" for k in keys], *[f"_s_{n}" for n in values])
 
 
 def averaged(df: DataFrame, keys: list[str], outputs: dict[str, str]) -> DataFrame:

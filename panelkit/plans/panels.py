@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import fixed_values as fv
 from panelkit.functions import rolling as R
-from panelkit.functions import stats as S
 from panelkit.functions.scalar import floor_at, month_start, safe_div
 from panelkit.operators import months as M
 from panelkit.operators.baskets import group_median, market_index
 from panelkit.operators.clean import is_liquid
 from panelkit.operators.dims import sector_codes
 from panelkit.operators.trend import market_momentum
+from panelkit.session import materialize
 
 HORIZONS = (1, 2, 3)
 
@@ -54,8 +54,6 @@ def symbol_features(prices: DataFrame, market: DataFrame) -> DataFrame:
             "upday_frac": R.rolling(F.avg, "_up", 20, 10, w),
             "amihud": R.rolling(F.avg, "_il", 20, 10, w),
             "is_month_end": R.is_last_of("ym", w),
-            # the median of 120 values is taken from this frame on the sampled rows only
-            "_value120": R.frame_values("value", 120, w),
             **moments,
         }
     )
@@ -85,6 +83,23 @@ def month_end_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("_last", R.is_last_of("ym", R.symbol_window())).filter("_last").drop("_last")
 
 
+def sampled(daily: DataFrame, prices: DataFrame, sample: str, n: int, momentum: str) -> DataFrame:
+    """(date, sector, momentum, row): every daily row with what its sector's median needs,
+    and on rows marked by ``sample`` all columns as ``row``, with ``_values``: the symbol's
+    last ``n`` traded values there.
+
+    A symbol's values are gathered once, in the order of its row numbers, and sliced at the
+    sampled rows; a frame of n values on each daily row would be n times the panel. Both
+    sides are placed by symbol, so nothing is exchanged.
+    """
+    history = prices.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_h"))
+    history = history.select("symbol", F.transform("_h", lambda s: s["value"]).alias("_h"))
+    values = F.array_compact(F.slice("_h", F.greatest(F.col("pos") - n + 1, F.lit(1)), F.least("pos", F.lit(n))))
+    row = F.struct(*[F.col(c) for c in daily.columns if c != sample], values.alias("_values"))
+    both = daily.join(history, "symbol")
+    return both.select("date", "sector", F.col(momentum).alias("_momentum"), F.when(F.col(sample), row).alias("row"))
+
+
 def forward_labels(month_ends: DataFrame, months: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """fwd_H: return to the same symbol's row H months on, by the grid of months
     present (``months``: any frame with their ym). That row is at most H rows ahead, so
@@ -123,22 +138,25 @@ def eligible_months(contract_months: DataFrame, window: int = 3) -> DataFrame:
     )
 
 
+def feature_rows(prices: DataFrame, min_adv: float) -> DataFrame:
+    """The daily pass of the feature panel: one window, month-end rows whole."""
+    market = market_index(prices, min_adv)
+    context = market_momentum(market, 63, "mkt_mom_3m").select("date", "mkt_r", "mkt_mom_3m")
+    return sampled(symbol_features(prices, context), prices, "is_month_end", 120, "mom_3m")
+
+
 def feature_panel(
     prices: DataFrame, macro: DataFrame, mood: DataFrame, contract_months: DataFrame, min_adv: float, min_close: float = 3.0,
 ) -> DataFrame:
     """Month-end features, forward labels and point-in-time eligibility.
 
-    Exchanges on the long panel: one on symbol, shared by every window. Market context
-    arrives as one broadcast row per date, so the rows stay where they are; all later
-    joins see month-end rows only.
+    The long panel is read once, in place: one window for every feature, month-end rows
+    and the momentum that sector medians need are written, and all later steps see those.
+    Market context arrives as one broadcast row per date.
     """
-    market = market_index(prices, min_adv)
-    context = market_momentum(market, 63, "mkt_mom_3m").select("date", "mkt_r", "mkt_mom_3m")
-    daily = symbol_features(prices, context)
-    ends = add_adv_growth(daily.filter("is_month_end").drop("is_month_end"), "_value120", 40)
-
-    momentum = prices.select("date", "sector", R.trailing_return("cumlog", 63, R.symbol_window()).alias("_m3"))
-    medians = group_median(momentum, ["date", "sector"], "_m3", "_sec3")
+    once = materialize(feature_rows(prices, min_adv), "daily-features")
+    ends = add_adv_growth(once.filter("row is not null").select("row.*"), "_values", 40)
+    medians = group_median(once, ["date", "sector"], "_momentum", "_sec3")
     ends = forward_labels(ends, prices.select(month_start("date").alias("ym"))).join(medians, ["date", "sector"], "left")
     ends = ends.withColumns(
         {"rel_str_3m": F.col("mom_3m") - F.col("mkt_mom_3m"), "rel_sec_3m": F.col("mom_3m") - F.col("_sec3")}
@@ -164,19 +182,32 @@ def surge_panel(prices: DataFrame, min_adv: float, surge: float = 0.40, horizon:
     dropped by default, which also makes the latest month about that many rows old;
     ``require_label=False`` keeps them for a current screen.
     """
+    market = market_index(prices, min_adv)
+    context = market_momentum(market, 20, "mkt_ret_20").select("date", "mkt_ret_20")
+    once = materialize(surge_rows(prices, min_adv, surge, horizon), "daily-surges")
+    ends = add_adv_growth(once.filter("row is not null").select("row.*"), "_values", 20)
+    medians = group_median(once, ["date", "sector"], "_momentum", "_med")
+    ends = ends.join(M.calendar_broadcast(context), "date", "left").join(medians, ["date", "sector"], "left")
+    ends = ends.withColumn("rel_ret_60", F.col("ret_60") - F.col("_med")).drop("_med")
+    return ends.dropna(subset=fv.SURGE_FEATURES + (["surge"] if require_label else []))
+
+
+def surge_rows(prices: DataFrame, min_adv: float, surge: float, horizon: int) -> DataFrame:
+    """The daily pass of the surge panel. The sample is a symbol's last liquid row of each
+    month: liquid, and no liquid row of the month among the next 31."""
     w = R.symbol_window()
     ahead = w.rowsBetween(1, horizon)
     level = F.exp("cumlog")
     peak = F.when(F.count("cumlog").over(ahead) == horizon, F.max("cumlog").over(ahead))
-    market = market_index(prices, min_adv)
-    context = market_momentum(market, 20, "mkt_ret_20").select("date", "mkt_ret_20")
-    ret60 = R.trailing_return("cumlog", 60, w)
-    df = prices.withColumns(
+    liquid = F.coalesce(is_liquid(min_adv), F.lit(False))
+    later = F.min(F.when(liquid, month_start("date"))).over(w.rowsBetween(1, 31))
+    df = prices.withColumn("ym", month_start("date")).withColumns(
         {
-            "ret_20": R.trailing_return("cumlog", 20, w), "ret_60": ret60, "ret_120": R.trailing_return("cumlog", 120, w),
+            "_last": liquid & ~later.eqNullSafe(F.col("ym")),
+            "ret_20": R.trailing_return("cumlog", 20, w), "ret_60": R.trailing_return("cumlog", 60, w), "ret_120": R.trailing_return("cumlog", 120, w),
             "vol_20": R.rolling(F.stddev_samp, "r1", 20, 10, w),
             "dist_252h": R.distance_from_max("cumlog", 252, 60, w), "dist_20h": R.distance_from_max("cumlog", 20, 10, w),
-            "_value60": R.frame_values("value", 60, w), "_peak": F.exp(peak) / level - 1,
+            "_peak": F.exp(peak) / level - 1,
         }
     ).withColumns(
         {
@@ -184,13 +215,7 @@ def surge_panel(prices: DataFrame, min_adv: float, surge: float = 0.40, horizon:
             "surge": F.when(F.col("_peak").isNotNull(), (F.col("_peak") >= surge).cast("double")),
         }
     )
-    # liquid rows only from here: the last liquid row of a month is the sample
-    ends = month_end_rows(df.filter(is_liquid(min_adv))).drop("_peak")
-    ends = add_adv_growth(ends, "_value60", 20)
-    medians = group_median(prices.select("date", "sector", ret60.alias("_r60")), ["date", "sector"], "_r60", "_med")
-    ends = ends.join(M.calendar_broadcast(context), "date", "left").join(medians, ["date", "sector"], "left")
-    ends = ends.withColumn("rel_ret_60", F.col("ret_60") - F.col("_med")).drop("_med")
-    return ends.dropna(subset=fv.SURGE_FEATURES + (["surge"] if require_label else []))
+    return sampled(df.drop("_peak"), prices, "_last", 60, "ret_60")
 
 
 def sector_panel(sector_months: DataFrame, market_months: DataFrame, macro: DataFrame, operating: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:

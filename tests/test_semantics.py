@@ -101,7 +101,7 @@ def test_asof_both_ways_and_early_fill(spark):
     assert column(asof.forward_asof(pts, steps, "v"), "v") == [1.0, 1.0, 1.0, 2.0, 2.0, 2.0, None]
 
 
-def test_later_decision_of_a_date_holds(spark):
+def test_latest_per_date_keeps_the_later_decision(spark):
     steps = spark.createDataFrame([(day(0), 5.0, 1), (day(0), 4.0, 2)], "date date, rate double, seq int")
     assert asof.latest_per_date(steps, "rate", "seq").collect()[0]["rate"] == 4.0
 
