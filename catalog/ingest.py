@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from catalog.registry import MIN_ADV, START, query
 from panelkit.functions.scalar import month_start
-from panelkit.operators import baskets
+from panelkit.operators import baskets, gaps
+from panelkit.plans import report
 from panelkit.session import shared_dir
 from panelkit.sources import context as ctx
+from panelkit.sources import archives as arc
 from panelkit.sources import feeds, sinks
 from panelkit.streaming.ingest import ingest_new, staged_panel
+from panelkit.streaming.upsert import panel_rows, upsert_new
 
 COLS = ["date", "symbol", "sector", "name", "close", "volume", "ldcp"]
 
@@ -31,6 +34,13 @@ def _(c):
     return feeds.parse_feed(feeds.read_archives(c.spark, folder)).select(*COLS)
 
 
+@query("a1_archive_source", "select * from feed_panel", "close ldcp")
+def _(c):
+    folder = shared_dir(c.spark, "archives")
+    write_archives(c.view("feed_lines"), folder)
+    return feeds.parse_feed(arc.read_lines(c.spark, folder)).select(*COLS)
+
+
 @query("a2_split_feed_lines", "select file, pos, f[1] as date, f[2] as symbol, f[3] as sector, f[8] as close, f[9] as volume, f[10] as ldcp from feed_fields")
 def _(c):
     return feeds.split_feed_lines(c.view("feed_lines")).select("file", "pos", "date", "symbol", "sector", "close", "volume", "ldcp")
@@ -62,6 +72,33 @@ def _(c):
     return feeds.missing_trading_days(p.select(F.min("date")).scalar(), p.select(F.max("date")).scalar(), held, c.m.rates)
 
 
+@query("a6_missing_ranges", """with cal as (select d as date, row_number() over (order by d) as n from (select cast(unnest(generate_series((select min(date) from prices), (select max(date) from prices), interval 1 day)) as date) as d) q where isodow(d) < 6 and d not in (select date from rate_events)),
+ h as (select distinct symbol, n from prices join cal using (date)),
+ e as (select symbol, n from h union all select distinct symbol, 0 from h union all select distinct symbol, (select max(n) from cal) + 1 from h),
+ g as (select symbol, n + 1 as a, lead(n) over (partition by symbol order by n) - 1 as b from e)
+ select g.symbol, x.date as first_missing, y.date as last_missing, cast(b - a + 1 as int) as n_days from g join cal x on x.n = a join cal y on y.n = b where a <= b""")
+def _(c):
+    # the rate decisions' dates stand for holidays, as a file of a list
+    path = shared_dir(c.spark, "holidays")
+    dates = c.m.rates.select(F.concat(F.lit('  "'), F.col("date").cast("string"), F.lit('",')).alias("value"))
+    dates.write.mode("overwrite").text(path)
+    p = c.m.prices
+    calendar = gaps.trading_calendar(c.spark, p.select(F.min("date")).scalar(), p.select(F.max("date")).scalar(), ctx.read_holidays(c.spark, path))
+    return gaps.missing_ranges(p, calendar)
+
+
+@query("a7_month_upsert", "select * from feed_panel", "close ldcp")
+def _(c):
+    # three arrivals, the middle years last; each merges the months it touches
+    base = shared_dir(c.spark, "upsert")
+    archives, panel, checkpoint = (os.path.join(base, x) for x in ("archives", "panel", "checkpoint"))
+    lines = c.view("feed_lines")
+    for arrival in ("file >= '1998-01'", "file < '1996-01'", "file >= '1996-01' and file < '1998-01'"):
+        write_archives(lines.filter(arrival), archives)
+        upsert_new(c.spark, archives, panel, checkpoint)
+    return panel_rows(c.spark, panel).select(*COLS)
+
+
 @query("a7_incremental_ingest", "select * from feed_panel", "close ldcp")
 def _(c):
     # two arrivals and a run after each: the second run takes the new archives only
@@ -163,6 +200,67 @@ def _(c):
     return ctx.eps_history(ctx.read_json(c.spark, _documents(c, docs, "fundamentals-json"), ctx.FUNDAMENTALS_SCHEMA, lines=True))
 
 
+def _sovereign(c) -> dict[str, DataFrame]:
+    """Sovereign documents from customers and orders, one per region, and their tables."""
+    nation, region = c.table("nation"), c.table("region")
+    named = c.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    orders = c.table("orders").join(named, F.col("o_custkey") == F.col("c_custkey")).withColumn("day", F.col("o_orderdate").cast("date"))
+    urgent = orders.filter("o_orderpriority = '1-URGENT'")
+    ratings = urgent.groupBy("r_name", F.col("day").alias("date"), F.col("n_name").alias("agency")).agg(F.max("o_orderstatus").alias("rating"), F.max("o_orderpriority").alias("outlook"))
+    debt = orders.groupBy("r_name", F.year("day").alias("year")).agg((F.sum("o_totalprice") / 1e9).alias("total_usd_bn"), F.avg("c_acctbal").alias("pct_of_gdp"))
+    programs = urgent.groupBy("r_name", "day").agg((F.sum("o_totalprice") / 1e6).alias("amount_usd_bn")).select("r_name", F.col("day").alias("date"), F.lit("urgent").alias("program"), F.lit("approval").alias("event"), "amount_usd_bn")
+    annual = orders.groupBy("r_name", F.concat(F.lit("FY"), F.year("day").cast("string")).alias("fy")).agg(F.avg("o_totalprice").alias("gdp_growth_pct"))
+    lists = {"ratings": ratings, "external_debt": debt, "imf_programs": programs, "macro_annual": annual}
+    docs = None
+    for name, rows in lists.items():
+        one = rows.groupBy("r_name").agg(F.collect_list(F.struct(*[x for x in rows.columns if x != "r_name"])).alias(name))
+        docs = one if docs is None else docs.join(one, "r_name", "full")
+    path = _documents(c, docs.drop("r_name"), "sovereign-json")
+    return ctx.sovereign_tables(ctx.read_json(c.spark, path, ctx.SOVEREIGN_SCHEMA, lines=True))
+
+
+SOVEREIGN = """select o.*, cast(o_orderdate as date) as day, c_acctbal, n_name, r_name from orders o join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""
+
+
+@query("a15_rating_spells", f"select agency, rating, outlook, since, lead(since) over (partition by agency order by since) as until from (select n_name as agency, day as since, max(o_orderstatus) as rating, '1-URGENT' as outlook from ({SOVEREIGN}) q where o_orderpriority = '1-URGENT' group by 1, 2) r")
+def _(c):
+    return ctx.rating_spells(_sovereign(c)["ratings"])
+
+
+@query("a15_external_debt", f"select cast(year(day) as int) as year, sum(o_totalprice) / 1e9 as total_usd_bn, avg(c_acctbal) as pct_of_gdp, cast(null as varchar) as source from ({SOVEREIGN}) q group by r_name, 1", "total_usd_bn pct_of_gdp")
+def _(c):
+    return _sovereign(c)["external_debt"]
+
+
+@query("a15_imf_programs", f"select day as date, 'urgent' as program, 'approval' as event, sum(o_totalprice) / 1e6 as amount_usd_bn, cast(null as varchar) as source from ({SOVEREIGN}) q where o_orderpriority = '1-URGENT' group by r_name, day", "amount_usd_bn")
+def _(c):
+    return _sovereign(c)["imf_programs"]
+
+
+@query("a15_macro_annual", f"select concat('FY', year(day)) as fy, avg(o_totalprice) as gdp_growth_pct, cast(null as double) as fiscal_deficit_pct_gdp, cast(null as double) as debt_to_gdp_pct, cast(null as varchar) as source from ({SOVEREIGN}) q group by r_name, 1", "gdp_growth_pct")
+def _(c):
+    return _sovereign(c)["macro_annual"]
+
+
+@query("a15_data_sources", "select concat('p', page_id) as name, url, 'page' as category, cast(null as varchar) as notes from pages")
+def _(c):
+    one = F.struct(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), "url", F.lit("page").alias("category"))
+    docs = c.table("pages").groupBy((F.col("page_id") % 7).alias("k")).agg(F.collect_list(one).alias("sources")).select("sources")
+    return ctx.data_sources(ctx.read_json(c.spark, _documents(c, docs, "sources-json"), ctx.SOURCES_SCHEMA, lines=True))
+
+
+@query("a15_causal_chains", """select concat('rate ', case when change_bps < 0 then 'cut' else 'rise' end) as trigger, count(*) as n_affected, sum(sign) as total_sign from (select change_bps from rate_events where change_bps is not null) r,
+ (select concat('Sector ', n_nationkey) as sector, cast(n_nationkey % 3 - 1 as double) as sign from nation) s group by 1""", "total_sign")
+def _(c):
+    affected = c.view("sector_graph").agg(F.collect_list(F.struct("sector", F.col("sensitivity")["policy_rate"].cast("double").alias("sign"))).alias("affected"))
+    kind = F.when(F.col("change_bps") < 0, "rate cut").otherwise("rate rise")
+    chains = c.m.rates.filter("change_bps is not null").select(kind.alias("trigger")).join(F.broadcast(affected))
+    docs = chains.select(F.array(F.struct("trigger", F.lit("carry").alias("mechanism"), "affected")).alias("causal_chains"))
+    graph = ctx.read_json(c.spark, _documents(c, docs, "chains-json"), ctx.GRAPH_SCHEMA, lines=True)
+    rows = ctx.graph_chains(graph).select("trigger", F.inline("affected"))
+    return rows.groupBy("trigger").agg(F.count("sector").alias("n_affected"), F.sum("sign").alias("total_sign"))
+
+
 @query("a16_csv_sink", "select date, mkt_r from market", "mkt_r")
 def _(c):
     path = _csv(c, baskets.market_index(c.m.prices, MIN_ADV, START), "market-csv")
@@ -177,6 +275,24 @@ def _(c):
     return counts[0].unionByName(counts[1]).groupBy("section").agg(F.count("section").alias("rows"))
 
 
+@query("a17_bundle_counts", """select 'market' as section, 'date' as column, count(date) as filled from market union all select 'market', 'mkt_r', count(mkt_r) from market
+ union all select 'sector_months', 'ym', count(ym) from sector_months union all select 'sector_months', 'sector', count(sector) from sector_months union all select 'sector_months', 'ret', count(ret) from sector_months
+ union all select 'macro', 'date', count(date) from macro union all select 'macro', 'pkr_usd', count(pkr_usd) from macro union all select 'macro', 'brent_usd', count(brent_usd) from macro""")
+def _(c):
+    tables = {"market": c.m.market, "sector_months": c.m.sector_months.select("ym", "sector", "ret"), "macro": c.m.macro.select("date", "pkr_usd", "brent_usd")}
+    return report.column_index(c.spark, sinks.write_bundle(tables, shared_dir(c.spark, "bundle"), "json"))
+
+
+@query("a18_macro_provenance", """with b as (select date, policy_rate, cpi_yoy, fx_reserves_sbp_bn, remittances_bn, cast(null as double) as current_account_mn, pkr_usd, brent_usd from macro),
+ n as (select count(*) as rows, min(date) as first, max(date) as last, [count(date), count(policy_rate), count(cpi_yoy), count(fx_reserves_sbp_bn), count(remittances_bn), count(current_account_mn), count(pkr_usd), count(brent_usd)] as k from b)
+ select unnest(['date', 'policy_rate', 'cpi_yoy', 'fx_reserves_sbp_bn', 'remittances_bn', 'current_account_mn', 'pkr_usd', 'brent_usd']) as column, unnest([null, 'rate decisions', 'orders', 'orders', 'orders', null, 'orders', 'orders']) as source, rows, unnest(k) as filled, first, last from n""")
+def _(c):
+    months = c.view("macro_months").withColumn("month", F.date_format("date", "yyyy-MM")).drop("date")
+    baked = ctx.bake_macro(months, c.m.rates.withColumn("seq", F.lit(0)))
+    sources = {"policy_rate": "rate decisions"} | {x: "orders" for x in ("cpi_yoy", "fx_reserves_sbp_bn", "remittances_bn", "pkr_usd", "brent_usd")}
+    return sinks.write_with_provenance(baked, shared_dir(c.spark, "macro-baked"), "date", sources)
+
+
 @query("a18_bake_macro", "select date, policy_rate, cpi_yoy, fx_reserves_sbp_bn, remittances_bn, cast(null as double) as current_account_mn, pkr_usd, brent_usd from macro", "policy_rate cpi_yoy fx_reserves_sbp_bn remittances_bn pkr_usd brent_usd")
 def _(c):
     months = c.view("macro_months").withColumn("month", F.date_format("date", "yyyy-MM")).drop("date")

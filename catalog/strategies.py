@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -44,15 +43,14 @@ def _(c):
     return rules.picks_for(c.m.panel, c.m.market, "1999-06-01")
 
 
-# the mark uses prices up to the end of 2000, as if the later ones were not known yet
+# marked as of the end of 2000
 @query("h4_interim_performance", f"""with p as ({PICKS.format(m='1999-06-01')}), x as (select * from prices where date <= date '2000-12-29'), l as (select symbol, cumlog from x where date = (select max(date) from x)),
  z as (select p.*, exp(l.cumlog - e.cumlog) - 1 as ret from p left join prices e on e.symbol = p.symbol and e.date = p.entry_date left join l on l.symbol = p.symbol)
  select entry_date, (select max(date) from x) as as_of, exposure >= 0.5 as risk_on, count(ret) as legs, avg(ret) as basket_ret, case when exposure >= 0.5 then avg(ret) else 0.0 end as applied_ret, cast((select max(date) from x) - entry_date as int) as days_held from z group by entry_date, exposure""",
        "basket_ret applied_ret")
 def _(c):
     picks = rules.picks_for(c.m.panel, c.m.market, "1999-06-01")
-    until = c.m.prices.filter(F.col("date") <= F.lit("2000-12-29").cast("date"))
-    return rules.interim_performance(rules.mark_to_latest(picks, until, keep_unmarked=True))
+    return rules.interim_performance(rules.mark_to_latest(picks, c.m.prices, keep_unmarked=True, as_of="2000-12-29"))
 
 
 @query("h5_gated_period_returns", """select cast(h as int) as H, count(*) as n, avg(ret) as avg_per_period, avg((ret > 0)::int) as pct_positive, exp(sum(ln(1+ret))) as multiple, min(eq/pk-1) as max_dd from (
@@ -334,5 +332,4 @@ def _(c):
         **report.predictor_tables(*surge_fit(c), panels.surge_panel(m.prices, MIN_ADV, 0.25, require_label=False), CUTOFF),
     }
     path = shared_dir(c.spark, "report")
-    sinks.write_bundle(report.shaped(tables), path)
-    return report.section_index({n: c.spark.read.parquet(os.path.join(path, n)) for n in tables})
+    return report.section_index(c.spark, sinks.write_bundle(report.shaped(tables), path))

@@ -36,9 +36,12 @@ def picks_for(panel: DataFrame, market: DataFrame, ym, k: int = 5) -> DataFrame:
     return gated.withColumnRenamed("date", "entry_date").withColumn("risk_on", F.col("exposure") >= 0.5)
 
 
-def mark_to_latest(picks: DataFrame, prices: DataFrame, keep_unmarked: bool = False) -> DataFrame:
+def mark_to_latest(picks: DataFrame, prices: DataFrame, keep_unmarked: bool = False, as_of: str | None = None) -> DataFrame:
     """Adds last close and return since entry. A leg needs a level on both dates; with
-    ``keep_unmarked`` it stays with a null return instead of dropping out."""
+    ``keep_unmarked`` it stays with a null return instead of dropping out. ``as_of`` takes
+    no price after that date, as if later ones were not known yet."""
+    if as_of is not None:
+        prices = prices.filter(F.col("date") <= F.lit(as_of).cast("date"))
     last = prices.select(F.max("date")).scalar()
     how = "left" if keep_unmarked else "inner"
     held = prices.select("symbol", "date", "cumlog", "close").join(picks.select("symbol"), "symbol", "left_semi")

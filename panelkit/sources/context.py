@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -38,6 +38,15 @@ FUNDAMENTALS_SCHEMA = (
 )
 
 
+SOVEREIGN_SCHEMA = (
+    "ratings array<struct<date:date,agency:string,rating:string,outlook:string,action:string,source:string>>, "
+    "external_debt array<struct<year:int,total_usd_bn:double,pct_of_gdp:double,source:string>>, "
+    "imf_programs array<struct<date:date,program:string,event:string,amount_usd_bn:double,source:string>>, "
+    "macro_annual array<struct<fy:string,gdp_growth_pct:double,fiscal_deficit_pct_gdp:double,debt_to_gdp_pct:double,source:string>>"
+)
+SOURCES_SCHEMA = "sources array<struct<name:string,url:string,category:string,notes:string>>"
+
+
 def read_or_empty(spark: SparkSession, path: str, fmt: str, schema: str, **options: str) -> DataFrame:
     """A typed read; an absent path is an empty frame of the same schema."""
     try:
@@ -129,6 +138,29 @@ def eps_history(fundamentals: DataFrame) -> DataFrame:
     return companies.select("c.ticker", "c.sector", F.explode("c.eps_history").alias("h")).select("ticker", "sector", "h.period", "h.eps")
 
 
+def companies(fundamentals: DataFrame) -> DataFrame:
+    """One row per company with its last measures; the history stays apart."""
+    return fundamentals.select(F.inline("companies")).drop("eps_history")
+
+
+def sovereign_tables(sovereign: DataFrame) -> dict[str, DataFrame]:
+    """The four lists of a sovereign document as tables: ratings and programmes by date,
+    debt by year, annual figures by fiscal year."""
+    return {n: sovereign.select(F.inline(n)) for n in ("ratings", "external_debt", "imf_programs", "macro_annual")}
+
+
+def rating_spells(ratings: DataFrame) -> DataFrame:
+    """(agency, rating, outlook, since, until): how long each agency's rating held, up to
+    its next one; null is now. Of several on one date the greatest text counts."""
+    one = ratings.groupBy("agency", "date").agg(F.max(F.struct("rating", "outlook")).alias("_r"))
+    following = F.lead("date").over(Window.partitionBy("agency").orderBy("date"))
+    return one.select("agency", "_r.rating", "_r.outlook", F.col("date").alias("since"), following.alias("until"))
+
+
+def data_sources(sources: DataFrame) -> DataFrame:
+    return sources.select(F.inline("sources"))
+
+
 def bake_macro(months: DataFrame, rates: DataFrame, order: str = "seq") -> DataFrame:
     """Macro rows keyed by a ``month`` string become month-end rows with the policy rate
     in force, in the fixed column order; absent columns are null. ``order`` decides

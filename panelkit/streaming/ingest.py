@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from panelkit.functions import fixed_values as fv
 from panelkit.sources.feeds import dedup_keep_last, lines_of, split_feed_lines, type_feed
 
+STAGED_SCHEMA = "file string, pos bigint, date date, symbol string, sector string, name string, open double, high double, low double, close double, volume bigint, ldcp double"
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -33,6 +35,13 @@ def ingest_new(spark: SparkSession, archives: str, staged: str, checkpoint: str,
 
 
 def staged_panel(spark: SparkSession, staged: str) -> DataFrame:
-    """The panel over all staged batches; later files and lines win."""
-    rows = spark.read.parquet(staged).drop("batch")
+    """The panel over all staged batches; later files and lines win. It is deduplicated
+    anew at each read; ``streaming.upsert`` keeps a panel that is not. Nothing staged yet:
+    no rows."""
+    try:
+        rows = spark.read.schema(STAGED_SCHEMA).parquet(staged)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], STAGED_SCHEMA)
     return dedup_keep_last(rows).select(*fv.FEED_COLUMNS)

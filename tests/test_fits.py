@@ -195,3 +195,24 @@ def test_live_picks_keep_names_with_gaps(spark):
     assert {r.H for r in picks} == {1, 2} and all(r.ym == at for r in picks)
     assert len(picks) == 10 and any(r.symbol == "s07" for r in picks)
     assert impute.live_picks(df, FEATURES, (1,), make, 5, min_train=10**6).count() == 0
+
+
+# ---- events and marks
+def test_equal_events_with_different_keys_stay_apart(spark):
+    from panelkit.operators import eventstudy
+
+    d = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    market = spark.createDataFrame([(d(i), 0.01) for i in range(120)], "date date, mkt_r double")
+    events = spark.createDataFrame([(1, d(50), "shock", "x", "a"), (1, d(50), "shock", "x", "b"), (2, d(50), "shock", "x", "a")], "id int, date date, type string, title string, sector string")
+    assert eventstudy.shock_response(events, market, ["shock"]).count() == 1
+    assert eventstudy.shock_response(events, market, ["shock"], key="id").count() == 2
+
+
+def test_marks_as_of_a_date(spark):
+    from panelkit.plans import rules
+
+    prices = spark.createDataFrame([("s", dt.date(2020, m, 1), 0.1 * m, 10.0 * m) for m in (1, 2, 3)], "symbol string, date date, cumlog double, close double")
+    picks = spark.createDataFrame([("s", dt.date(2020, 1, 1))], "symbol string, entry_date date")
+    row = rules.mark_to_latest(picks, prices, as_of="2020-02-15").first()
+    assert (row.as_of, row.last_close) == (dt.date(2020, 2, 1), 20.0) and row.ret == pytest.approx(np.expm1(0.1))
+    assert rules.mark_to_latest(picks, prices).first().as_of == dt.date(2020, 3, 1)
