@@ -4,11 +4,15 @@ Payment cards, bank accounts, social security numbers, telephone numbers, networ
 addresses, dates and the local parts of e-mail addresses are found, validated (check
 digits, ranges, calendar) and put through a keyed Feistel permutation of their own format:
 the outcome is valid again, equal values get equal pseudonyms in every document, and
-different values different ones. All of it is SQL expressions over one pass of the texts:
-a text is split at its matches, the matches are transformed, and the parts joined again.
+different values different ones. A value is permuted as a whole: every letter and digit of
+the pseudonym depends on all of the value. All of it is SQL expressions over one pass of
+the texts: a text is split at its matches, the matches are transformed, and the parts
+joined again. No pattern repeats a group in a way that the regular expression engine
+matches by recursion, so the length of a text or of a match is no matter.
 
 Defined cases: a null text stays null; values that fail validation stay as they are; texts
-without findings are unchanged; other columns are kept.
+without findings are unchanged; other columns are kept. The key is a literal of the plan:
+whoever can read the session's plans or event logs can read it.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ ROUNDS = 8
 #: Dates permuted among themselves: 1900-01-01 to 2099-12-31, 229 * 319 days.
 FIRST_DAY, DAYS = "1900-01-01", (229, 319)
 
-EMAIL = r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: Account lengths by country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
@@ -30,6 +34,10 @@ IBAN_LENGTHS = {
 }
 
 
+#: Country codes of one and two digits; all others have three.
+CODES = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
+
+
 def _account(length: int) -> str:
     tail = (length - 4) % 4
     return f"(?:{'|'.join(IBAN_LENGTHS[length].split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(length - 4) // 4}}}" + (f" ?[A-Z0-9]{{{tail}}}" if tail else "") + "(?![A-Za-z0-9])"
@@ -65,36 +73,36 @@ def _feistel(left: str, right: str, a: str, b: str, tweak: str, key: str) -> str
     )
 
 
-def _radix(ch: str) -> str:
-    return f"(case when {ch} between '0' and '9' then 10L when {ch} between 'a' and 'z' or {ch} between 'A' and 'Z' then 26L else 1L end)"
-
-
-def _digit(ch: str) -> str:
-    return f"(case when {ch} between '0' and '9' then ascii({ch}) - 48 when {ch} between 'a' and 'z' then ascii({ch}) - 97 when {ch} between 'A' and 'Z' then ascii({ch}) - 65 else 0 end)"
-
+def _base(ch: str) -> str:
+    return f"(case when {ch} between '0' and '9' then 48 when {ch} between 'a' and 'z' then 97 else 65 end)"
 
-def _number(s: str) -> str:
-    return f"aggregate(split({s}, ''), 0L, (n, c) -> n * {_radix('c')} + {_digit('c')})"
 
-
-def _space(s: str) -> str:
-    return f"aggregate(split({s}, ''), 1L, (n, c) -> n * {_radix('c')})"
+def _radix(ch: str) -> str:
+    return f"(if({ch} between '0' and '9', 10, 26))"
 
 
-def _written(s: str, n: str) -> str:
-    """``n`` written with the character classes of ``s``."""
-    ch = f"(case when {_radix('c')} = 1 then c else chr(ascii(c) - {_digit('c')} + acc.n % {_radix('c')}) end)"
-    return f"aggregate(reverse(split({s}, '')), named_struct('n', {n}, 'o', ''), (acc, c) -> named_struct('n', acc.n div {_radix('c')}, 'o', concat({ch}, acc.o)), acc -> acc.o)"
+def _shifted(part: str, by: str, tweak: str, key: str) -> str:
+    """The letters and digits of ``part``, each moved inside its class by four hexadecimal
+    digits of keyed hashes of the other half and the round."""
+    block = f"sha2(concat_ws('|', '{key}', {tweak}, k, j, {by}), 256)"
+    hashes = f"array_join(transform(sequence(0, (length({part}) - 1) div 16), j -> {block}), '')"
+    moved = f"chr({_base('c')} + (ascii(c) - {_base('c')} + cast(conv(substr(hs, i * 4 + 1, 4), 16, 10) as int)) % {_radix('c')})"
+    return _let(hashes, "hs", f"array_join(transform(split({part}, ''), (c, i) -> {moved}), '')")
 
 
 def permuted(s: str, tweak: str, key: str) -> str:
-    """A keyed permutation of strings that keeps every character's class (digit, small or
-    capital letter; others stay), in pieces of 16 characters."""
-    piece = _let(
-        f"struct(substr(w, 1, cast(length(w) div 2 as int)) as a, substr(w, cast(length(w) div 2 as int) + 1) as b)", "h",
-        _let(_feistel(_number("h.a"), _number("h.b"), _space("h.a"), _space("h.b"), f"concat({tweak}, i, '/', length(w))", key), "z", f"concat({_written('h.a', 'z.l')}, {_written('h.b', 'z.r')})"),
+    """A keyed permutation of strings of ASCII letters and digits that keeps the class of
+    every character (digit, small or capital letter): Feistel rounds over the two halves of
+    the whole string. A single character goes through a keyed order of its class."""
+    rounds = (
+        f"aggregate(sequence(0, {ROUNDS - 1}), h, (st, k) -> if(k % 2 = 0, named_struct('a', {_shifted('st.a', 'st.b', 't', key)}, 'b', st.b), "
+        f"named_struct('a', st.a, 'b', {_shifted('st.b', 'st.a', 't', key)})), st -> concat(st.a, st.b))"
     )
-    return f"array_join(transform(sequence(0, cast((greatest(length({s}), 1) - 1) div 16 as int)), i -> {_let(f'substr({s}, i * 16 + 1, 16)', 'w', piece)}), '')"
+    halves = "named_struct('a', substr(w, 1, cast(length(w) div 2 as int)), 'b', substr(w, cast(length(w) div 2 as int) + 1))"
+    ordered = f"array_sort(transform(sequence(0, {_radix('w')} - 1), x -> struct(sha2(concat_ws('|', '{key}', t, 'one', {_base('w')}, x), 256) as o, x as x)))"
+    single = f"chr({_base('w')} + {ordered}[ascii(w) - {_base('w')}].x)"
+    body = _let(tweak, "t", f"case when length(w) > 1 then {_let(halves, 'h', rounds)} when length(w) = 1 then {single} else '' end")
+    return _let(s, "w", body)
 
 
 def _digits(s: str) -> str:
@@ -137,7 +145,10 @@ def _card(key: str) -> str:
     other = "array_max(transform(filter(r[a], x -> x.e = a or not exists(slice(r, a + 2, x.e - a), y -> exists(y, z -> z.u))), x -> x.e))"
     taken = "if(e is null, acc, named_struct('n', e + 1, 'o', array_append(acc.o, named_struct('a', a, 'e', e))))"
     step = f"if(a < acc.n, acc, {_let(f'coalesce(if(exists(r[a], x -> x.u), {own}, null), {other})', 'e', taken)})"
-    chosen = f"aggregate(sequence(0, size(g) - 1), named_struct('n', 0, 'o', cast(array() as array<struct<a:int,e:int>>)), (acc, a) -> {step}, acc -> acc.o)"
+    # a fold over blocks of groups, so that a chain of very many cards appends to short arrays
+    inner = f"aggregate(sequence(b * 256, cast(least(b * 256 + 255, size(g) - 1) as int)), named_struct('n', big.n, 'o', cast(array() as array<struct<a:int,e:int>>)), (acc, a) -> {step})"
+    outer = _let(inner, "x", "named_struct('n', x.n, 'o', array_append(big.o, x.o))")
+    chosen = f"flatten(aggregate(sequence(0, cast((size(g) - 1) div 256 as int)), named_struct('n', 0, 'o', cast(array() as array<array<struct<a:int,e:int>>>)), (big, b) -> {outer}, big -> big.o))"
     # each run in its own format, after the groups since the run before
     run = _let("array_join(slice(h, x.a + 1, x.e - x.a + 1), '')", "m", _let(_digits("m"), "d", _let(new, "q", _refilled("m", "q"))))
     since = "if(i = 0, 0, get(c, i - 1).e + 1)"
@@ -160,9 +171,11 @@ def _iban(key: str) -> str:
 
 
 def _phone(key: str) -> str:
-    """The country code stays (the digits before the first separator, of +1 the 1)."""
-    code = "if(startswith(m, '+'), regexp_extract(m, '^\\\\+(1(?=[0-9]{10}$)|[0-9]{1,3})', 1), '')"
-    new = f"concat(c, {permuted('substr(d, length(c) + 1)', 'concat(c, chr(112))', key)})"
+    """The country code stays; it is read off the digits, so spellings of one number are
+    linked. A number without one is taken for the numbering plan of +1, in whose national
+    forms it is written."""
+    code = f"if(startswith(m, '+'), regexp_extract(d, '^({CODES}|[0-9]{{3}})', 1), '')"
+    new = f"concat(c, {permuted('substr(d, length(c) + 1)', "concat(if(c = '', '1', c), chr(112))", key)})"
     return _let(_digits("m"), "d", _let(code, "c", f"if(length(d) between 7 and 15, {_let(new, 'q', _refilled('m', 'q'))}, m)"))
 
 
@@ -192,7 +205,9 @@ def _address(key: str) -> str:
 
 
 def _email(key: str) -> str:
-    return f"concat({permuted(_local(), _place(), key)}, substr(m, instr(m, '@')))"
+    """The letters and digits of the local part, between the signs it has."""
+    new = permuted(f"regexp_replace({_local()}, '[^A-Za-z0-9]', '')", _place(), key)
+    return f"concat({_let(new, 'q', _refilled(_local(), 'q'))}, substr(m, instr(m, '@')))"
 
 
 def _local() -> str:
