@@ -153,10 +153,11 @@ def test_secrets_places_masks_and_false_positives(spark):
     found = secrets.scan(df).cache()
     texts = {i: t for i, t, _ in rows}
     got = found.collect()
-    assert all(texts[r.doc_id][r.start : r.start + r.length] == r.value for r in got)
+    assert all(hashlib.sha256(texts[r.doc_id][r.start : r.start + r.length].encode()).hexdigest() == r.value_sha256 for r in got)
+    assert "value" not in found.columns
     verdict = {r.doc_id: r.is_secret for r in got}
     assert all(verdict[i] for i in [*range(20), *range(100, 120)]) and not any(verdict[i] for i in range(200, 220))
-    out = secrets.masked(df.withColumn("_values", F.lit(1)), found)
+    out = secrets.masked(df.withColumn("_spans", F.lit(1)), found)
     done = {r.doc_id: r.text for r in out.collect()}
     assert out.count() == len(rows) and done[3] == "text 3 password=[SECRET] more" and done[205] == texts[205] and done[300] is None and done[302] == LONG
 
