@@ -40,8 +40,7 @@ ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 _HIDDEN = ("script", "style", "noscript", "template", "head")
 _BLOCKS = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside|blockquote|pre|hr|form|title|body|html"
 # up to the closing tag, or given up at the next opener of the same kind
-_UNSEEN = [rf"<{k}\b[^<]*+(?:<(?!/?{k}\b)[^<]*+)*+</{k}\s*+>" for k in _HIDDEN] + ["<!--[^<-]*+(?:(?:-(?!->)|<(?!!--))[^<-]*+)*+-->"]
-UNSEEN = "(?i)" + "|".join(_UNSEEN)
+UNSEEN = rf"(?i)<(?:({'|'.join(_HIDDEN)})\b[^<]*+(?:<(?!/?\1\b)[^<]*+)*+</\1\s*+>|!--[^<-]*+(?:(?:-(?!->)|<(?!!--))[^<-]*+)*+-->)"
 BREAKS = rf"(?i)</?(?:{_BLOCKS})\b[^<>]*+>"
 TAGS = "<[^<>]*+>"
 TITLE = r"(?i)<title\b[^<>]*+>([^<]*+)</title"
@@ -86,14 +85,19 @@ def one_line(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: scripts, styles, comments and tags go, block tags break lines, runs of
-    blanks shrink to one."""
+def stripped(html: Column) -> Column:
+    """The page without scripts, styles, comments and tags; block tags break lines."""
     t = F.regexp_replace(html, UNSEEN, " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"[\t\r\n\f]", " "), BREAKS, "\n")
-    t = decoded(F.regexp_replace(t, TAGS, ""))
+    t = F.regexp_replace(F.translate(t, "\t\r\n\f", "    "), BREAKS, "\n")
+    return F.regexp_replace(t, TAGS, "")
+
+
+def plain_text(stripped_page: Column) -> Column:
+    """Visible text of a stripped page (a column that is computed already: it is used
+    several times): entities become characters, runs of blanks shrink to one."""
+    t = decoded(stripped_page)
     t = F.regexp_replace(F.regexp_replace(t, " {2,}", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+    return F.trim(t, F.lit(" \n"))
 
 
 def responses_from_pages(pages: DataFrame, crawled: str = CRAWLED) -> DataFrame:
@@ -110,7 +114,9 @@ def derivatives(responses: DataFrame, key: str = "page_id") -> DataFrame:
     """Two records for every response: (key, record_type, record_id, refers_to, target_uri,
     date, content_type, source_headers, source_digest, block, block_digest, content_length)."""
     html = F.col("payload")
-    links = F.regexp_extract_all(html, F.lit(LINKS), 1)
+    links = F.col("_links")
+    # each is found once and used several times
+    found = responses.withColumns({"_links": F.regexp_extract_all(html, F.lit(LINKS), 1), "_stripped": stripped(html)})
     media = F.regexp_extract("http_headers", r"(?i)content-type:[ \t]*([^\r\n]*)", 1)
     status = F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -121,9 +127,9 @@ def derivatives(responses: DataFrame, key: str = "page_id") -> DataFrame:
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(html).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("_stripped")).alias("block")),
     )
-    rows = responses.select(F.col(key), F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), F.inline(kinds))
+    rows = found.select(F.col(key), F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), F.inline(kinds))
     rows = rows.withColumns({"record_id": named_uuid(F.col("record_type"), F.col("refers_to")), "block_digest": digest(F.col("block")), "content_length": F.octet_length("block").cast("long")})
     return rows.select(key, "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "source_headers", "source_digest", "block", "block_digest", "content_length")
 
