@@ -5,7 +5,9 @@ there is certain. Every (other byte, ASCII white space) pair of a byte-level voc
 of this kind, and the pre-tokenizer always starts a new piece there as well: the text
 falls into short fragments "white space + word" whose ids do not depend on their
 surroundings. Fragments repeat, so each worker keeps bounded tables of those it has met.
-Long fragments are cut further at certain pairs between letters.
+Long fragments (text without white space, of any script) are cut further: where the
+pre-tokenizer begins a new piece, and inside a piece at certain pairs of the last byte of a
+character and the first of the next. What is still long is encoded and not remembered.
 
 Defined cases: a null text encodes as the empty text (no ids, empty decoded text); special
 tokens written in a text become their ids, as the tokenizers library does by default.
@@ -26,8 +28,13 @@ from panelkit.llm.common import extended
 
 #: Fragments a worker remembers at most, in each of a new and an old table.
 REMEMBERED = 200_000
-#: Fragments above so many characters are also cut inside, where a pair is certain.
+#: Fragments above so many characters are also cut inside.
 LONG = 200
+#: Characters of a fragment that is remembered at most, which bounds the tables in bytes.
+KEPT = 64
+#: Ranges that hold letters only and have done so for long, so that every
+#: version of the character tables takes them for letters.
+LETTERS = [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3CE), (0x410, 0x44F), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x905, 0x939), (0xE01, 0xE30), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
 SPACES = b"\t\n\x0b\x0c\r "
 
 
@@ -105,19 +112,21 @@ class Codec:
             held = ""
         return [*out, held] if held else out
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of new fragments. Those that open with ASCII white space and end cleanly
         stay apart in a row as well, so one call encodes them all."""
+        out: dict[str, bytes] = {}
         rows = [f for f in new if f[0] in " \n\t" and not f[-1].isspace() and (f[-1] < "\x80" or f.encode()[-1] not in self.unclean)]
         if rows and self.ends is not None:
             ids = np.array(self.library.encode_batch_fast(["".join(rows)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(np.fromiter((len(f) if f.isascii() else len(f.encode()) for f in rows), np.int64, len(rows)))
             at = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
             packed = ids.tobytes()
-            self.known.update(zip(rows, (packed[x:y] for x, y in zip([0, *at.tolist()], at.tolist()))))
-            new = [f for f in new if f not in self.known]
+            out.update(zip(rows, (packed[x:y] for x, y in zip([0, *at.tolist()], at.tolist()))))
+            new = [f for f in new if f not in out]
         for f, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[f] = np.array(e.ids, "<u4").tobytes()
+            out[f] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def _values(self, found: list[str]) -> list[bytes]:
         """The ids of each fragment. A full table becomes the old one, from which
@@ -130,28 +139,34 @@ class Codec:
                 self.old, self.known = self.known, dict(self.special)
             old = self.old
             self.known.update((f, old[f]) for f in new if f in old)
-            self._learn([f for f in new if f not in self.known])
+            fresh = self._learn([f for f in new if f not in self.known])
+            self.known.update((f, v) for f, v in fresh.items() if len(f) <= KEPT)
             for i in lost:
-                values[i] = self.known[found[i]]
+                values[i] = fresh[found[i]] if found[i] in fresh else self.known[found[i]]
         return values
 
     def inner_cuts(self, fragment: str) -> list[str]:
-        """Cuts between two ASCII lower-case letters that form a certain pair: one piece
-        of the pre-tokenizer holds both, so only merges matter there."""
-        raw = np.frombuffer(fragment.encode("utf-32-le"), "<u4")
-        low = (raw >= 97) & (raw <= 122)
-        pairs = low[:-1] & low[1:]
-        at = np.flatnonzero(pairs)
-        at = at[self.certain[raw[at], raw[at + 1]]] + 1
-        # the part after a cut must not open with what the pre-tokenizer takes for a
-        # contraction; those begin with an apostrophe, so letters are safe
+        """Cuts between letters, digits and ASCII punctuation. Between kinds a new piece of
+        the pre-tokenizer begins; inside a kind one piece holds both characters, so only
+        merges matter, and a certain pair allows none. Apostrophes, which may open a
+        contraction, white space and all other characters have no cut beside them."""
+        raw = np.frombuffer(fragment.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        kind = np.zeros(len(raw), np.int8)
+        for a, b in LETTERS:
+            kind[(raw >= a) & (raw <= b)] = 1
+        kind[(raw >= 48) & (raw <= 57)] = 2
+        kind[(raw > 32) & (raw < 127) & (kind == 0) & (raw != 39)] = 3
+        lead = np.select([raw < 0x80, raw < 0x800, raw < 0x10000], [raw, 0xC0 | raw >> 6, 0xE0 | raw >> 12], 0xF0 | raw >> 18)
+        last = np.where(raw < 0x80, raw, 0x80 | raw & 63)
+        known = (kind[:-1] > 0) & (kind[1:] > 0)
+        at = np.flatnonzero(known & ((kind[:-1] != kind[1:]) | self.certain[last[:-1], lead[1:]])) + 1
         bounds = [0, *at.tolist(), len(fragment)]
         return [fragment[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def cut(self, text: str) -> list[str]:
         """All fragments of a text without special tokens."""
         found = self.fragments(text)
-        if len(text) > LONG * len(found):  # few white spaces: look for long fragments
+        if max(map(len, found)) > LONG:
             found = [p for f in found for p in (self.inner_cuts(f) if len(f) > LONG else (f,))]
         return found
 

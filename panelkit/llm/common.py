@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -64,6 +64,18 @@ def balanced_sample(labels: DataFrame, label: str, divisor: int, left_out: int,
     return halves[0].unionByName(halves[1])
 
 
+def fitting_rows(documents: DataFrame, sample: DataFrame, bytes_bound: int, purpose: str, text: str = "text") -> DataFrame:
+    """(doc_id, y, text) of a bounded labelled sample, as a written table: one row per id
+    (of repeated ids the smallest text, before anything is gathered), and texts of at most
+    ``bytes_bound`` bytes together, taken in the order of the ids' hashes."""
+    docs = needed(documents, doc_id="doc_id", text=text).join(F.broadcast(sample), "doc_id")
+    rows = materialize(docs.groupBy("doc_id", "y").agg(F.min("text").alias("text")), f"{purpose}-rows")
+    # a window over the sample's ids and sizes, which the sample's bound bounds
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_n")).withColumn("_sum", F.sum("_n").over(before))
+    return rows.join(F.broadcast(sizes.filter(F.col("_sum") <= bytes_bound).select("doc_id")), "doc_id", "left_semi")
+
+
 def _fingerprint_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import extended, labelled_sample, needed
+from panelkit.llm.common import extended, fitting_rows, labelled_sample
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "lower", "upper", "digit", "space", "comma_stop", "exclaim", "symbol", "high", "lines",
@@ -189,11 +189,12 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, bin
     return model
 
 
-def train(documents: DataFrame, labels: DataFrame, bound: int = 8000, divisor: int = 4, left_out: int = 2) -> Additive:
-    """Fits on at most ``bound`` labelled documents outside the held-out split. Only
-    their statistics (``bound`` short rows) reach the driver."""
+def train(documents: DataFrame, labels: DataFrame, bound: int = 8000, divisor: int = 4, left_out: int = 2, bytes_bound: int = 256_000_000) -> Additive:
+    """Fits on at most ``bound`` labelled documents outside the held-out split, one row per
+    id and ``bytes_bound`` bytes of text. Only their statistics (``bound`` short rows)
+    reach the driver."""
     sample = labelled_sample(labels, "quality", divisor, left_out, bound)
-    docs = needed(documents, doc_id="doc_id", text="text").join(F.broadcast(sample), "doc_id")  # at most ``bound`` rows
+    docs = fitting_rows(documents, sample, bytes_bound, "quality")
     rows = features(docs, keep=("doc_id", "y")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     return fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))

@@ -103,7 +103,6 @@ def links(rows: DataFrame, words: int, radius: int, offsets: list[int], tile: in
     tiled = tiled.groupBy("cell", "part").agg(F.collect_list(F.struct("id", *fs)).alias("_rows"))
     tiled = tiled.select("cell", "part", F.col("_rows.id").alias("id"), *[F.col(f"_rows.{f}").alias(f) for f in fs])
     tiled = materialize(tiled, f"{purpose}-tiles")
-    most = sizes.agg(F.max("tiles")).first()[0] or 0
     # a group: a target tile, and of the cells near it the tiles of one part number
     away = tiled.withColumn("_off", F.explode(F.array(*[F.lit(o).cast("long") for o in offsets])))
     away = away.withColumn("target", F.col("cell") + F.col("_off"))
@@ -112,7 +111,10 @@ def links(rows: DataFrame, words: int, radius: int, offsets: list[int], tile: in
     away = away.filter((F.col("_off") != 0) | (F.col("part") < F.col("tpart")))
     cols = ["target", "tpart", "with", "own", "id", *fs]
     away = away.select("target", "tpart", F.col("part").alias("with"), F.lit(False).alias("own"), "id", *fs)
-    home = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(max(0, most - 1)))))
+    # a tile waits for as many parts as the largest cell that is compared with its own has
+    spread = sizes.select("cell", "tiles", F.explode(F.array(*[F.lit(o).cast("long") for o in offsets])).alias("_o"))
+    near_by = spread.groupBy((F.col("cell") + F.col("_o")).alias("cell")).agg(F.max("tiles").alias("_w"))
+    home = tiled.join(F.broadcast(near_by), "cell").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)))
     home = home.select(F.col("cell").alias("target"), F.col("part").alias("tpart"), "with", F.lit(True).alias("own"), "id", *fs)
 
     def compare(t: pa.Table) -> pa.Table:
