@@ -166,7 +166,7 @@ class Codec:
     def cut(self, text: str) -> list[str]:
         """All fragments of a text without special tokens."""
         found = self.fragments(text)
-        if max(map(len, found)) > LONG:
+        if max(map(len, found), default=0) > LONG:
             found = [p for f in found for p in (self.inner_cuts(f) if len(f) > LONG else (f,))]
         return found
 
