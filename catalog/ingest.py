@@ -190,18 +190,23 @@ def _(c):
     return ctx.graph_sectors(graph).select("name", F.explode("macro_sensitivity").alias("factor", "prior"))
 
 
-@query("a15_eps_history", "select concat('C', c_custkey) as ticker, n_name as sector, cast(year(o_orderdate) as varchar) as period, sum(o_totalprice) as eps from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2, 3", "eps")
-def _(c):
+def fundamentals(c) -> DataFrame:
+    """Company documents from customers and the yearly sums of their orders."""
     yearly = c.table("orders").groupBy("o_custkey", F.year("o_orderdate").cast("string").alias("period")).agg(F.sum("o_totalprice").alias("eps"))
-    companies = yearly.groupBy("o_custkey").agg(F.collect_list(F.struct("period", "eps")).alias("eps_history"))
-    named = companies.join(c.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(c.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    histories = yearly.groupBy("o_custkey").agg(F.collect_list(F.struct("period", "eps")).alias("eps_history"))
+    named = histories.join(c.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(c.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     doc = F.struct(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("n_name").alias("sector"), "eps_history")
     docs = named.select(F.array(doc).alias("companies"))
-    return ctx.eps_history(ctx.read_json(c.spark, _documents(c, docs, "fundamentals-json"), ctx.FUNDAMENTALS_SCHEMA, lines=True))
+    return ctx.read_json(c.spark, _documents(c, docs, "fundamentals-json"), ctx.FUNDAMENTALS_SCHEMA, lines=True)
 
 
-def _sovereign(c) -> dict[str, DataFrame]:
-    """Sovereign documents from customers and orders, one per region, and their tables."""
+@query("a15_eps_history", "select concat('C', c_custkey) as ticker, n_name as sector, cast(year(o_orderdate) as varchar) as period, sum(o_totalprice) as eps from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2, 3", "eps")
+def _(c):
+    return ctx.eps_history(fundamentals(c))
+
+
+def sovereign(c) -> DataFrame:
+    """Sovereign documents from customers and orders, one per region."""
     nation, region = c.table("nation"), c.table("region")
     named = c.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     orders = c.table("orders").join(named, F.col("o_custkey") == F.col("c_custkey")).withColumn("day", F.col("o_orderdate").cast("date"))
@@ -216,7 +221,11 @@ def _sovereign(c) -> dict[str, DataFrame]:
         one = rows.groupBy("r_name").agg(F.collect_list(F.struct(*[x for x in rows.columns if x != "r_name"])).alias(name))
         docs = one if docs is None else docs.join(one, "r_name", "full")
     path = _documents(c, docs.drop("r_name"), "sovereign-json")
-    return ctx.sovereign_tables(ctx.read_json(c.spark, path, ctx.SOVEREIGN_SCHEMA, lines=True))
+    return ctx.read_json(c.spark, path, ctx.SOVEREIGN_SCHEMA, lines=True)
+
+
+def _sovereign(c) -> dict[str, DataFrame]:
+    return ctx.sovereign_tables(sovereign(c))
 
 
 SOVEREIGN = """select o.*, cast(o_orderdate as date) as day, c_acctbal, n_name, r_name from orders o join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""
@@ -242,11 +251,16 @@ def _(c):
     return _sovereign(c)["macro_annual"]
 
 
-@query("a15_data_sources", "select concat('p', page_id) as name, url, 'page' as category, cast(null as varchar) as notes from pages")
-def _(c):
+def data_sources(c) -> DataFrame:
+    """Documents that list pages as sources."""
     one = F.struct(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), "url", F.lit("page").alias("category"))
     docs = c.table("pages").groupBy((F.col("page_id") % 7).alias("k")).agg(F.collect_list(one).alias("sources")).select("sources")
-    return ctx.data_sources(ctx.read_json(c.spark, _documents(c, docs, "sources-json"), ctx.SOURCES_SCHEMA, lines=True))
+    return ctx.read_json(c.spark, _documents(c, docs, "sources-json"), ctx.SOURCES_SCHEMA, lines=True)
+
+
+@query("a15_data_sources", "select concat('p', page_id) as name, url, 'page' as category, cast(null as varchar) as notes from pages")
+def _(c):
+    return ctx.data_sources(data_sources(c))
 
 
 @query("a15_causal_chains", """select concat('rate ', case when change_bps < 0 then 'cut' else 'rise' end) as trigger, count(*) as n_affected, sum(sign) as total_sign from (select change_bps from rate_events where change_bps is not null) r,

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from catalog.aggregates import EVALUATED, KEYWORDS, NOT_NULL, RULE, RULE_LONG, TAGGED, _FEATS, evaluation_sql, rounded, rule_months, scored_months_sql, tagged
+from catalog.ingest import data_sources, fundamentals, sovereign
 from catalog.joins import FOLD_ROWS
 from catalog.registry import MIN_ADV, query
 from panelkit.functions import fixed_values as fv
@@ -317,6 +318,18 @@ def _(c):
     return tagged(c).select("H", "ym", "top", "uni", "spread", "postdip", "risk_on", "easing", "high_infl", "budget")
 
 
+_ORDERS = "orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
+
+
+@query("h12_document_tables", f"""select 'fundamentals' as section, count(distinct o_custkey) as rows from {_ORDERS} union all select 'fundamentals_eps', count(distinct (o_custkey, year(o_orderdate))) from {_ORDERS}
+ union all select 'sovereign_ratings', count(distinct (n_name, cast(o_orderdate as date))) from {_ORDERS} where o_orderpriority = '1-URGENT' union all select 'sovereign_spells', count(distinct (n_name, cast(o_orderdate as date))) from {_ORDERS} where o_orderpriority = '1-URGENT'
+ union all select 'sovereign_external_debt', count(distinct (r_name, year(o_orderdate))) from {_ORDERS} union all select 'sovereign_imf_programs', count(distinct (r_name, cast(o_orderdate as date))) from {_ORDERS} where o_orderpriority = '1-URGENT'
+ union all select 'sovereign_macro_annual', count(distinct (r_name, year(o_orderdate))) from {_ORDERS} union all select 'data_sources', count(*) from pages""")
+def _(c):
+    tables = report.document_tables(fundamentals(c), sovereign(c), data_sources(c))
+    return report.section_index(c.spark, sinks.write_bundle(report.shaped(tables), shared_dir(c.spark, "documents-bundle")))
+
+
 @query("h12_report_tables")
 def _(c):
     m = c.m
@@ -329,6 +342,7 @@ def _(c):
         **report.panel_tables(m),
         **report.context_tables(c.view("news"), KEYWORDS, c.view("flows"), c.view("client_flows")),
         **report.ranking_tables(m, walk(c)[0], sector_walk(c)[0], tagged(c)),
+        **report.document_tables(fundamentals(c), sovereign(c), data_sources(c)),
         **report.predictor_tables(*surge_fit(c), panels.surge_panel(m.prices, MIN_ADV, 0.25, require_label=False), CUTOFF),
     }
     path = shared_dir(c.spark, "report")

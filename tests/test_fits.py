@@ -216,3 +216,13 @@ def test_marks_as_of_a_date(spark):
     row = rules.mark_to_latest(picks, prices, as_of="2020-02-15").first()
     assert (row.as_of, row.last_close) == (dt.date(2020, 2, 1), 20.0) and row.ret == pytest.approx(np.expm1(0.1))
     assert rules.mark_to_latest(picks, prices).first().as_of == dt.date(2020, 3, 1)
+
+
+def test_pairs_of_symbols_are_refused(spark):
+    from panelkit.operators import corr
+
+    df = spark.range(600).select(F.lit("2020-01-01").cast("date").alias("ym"), F.col("id").cast("string").alias("sector"), F.lit(0.1).alias("ret"))
+    for fn in (corr.cross_sector_corr, corr.lead_lag):
+        with pytest.raises(ValueError, match="taxonomy"):
+            fn(df)
+    assert corr.lead_lag(df.filter("sector < '2'")).count() == 0
