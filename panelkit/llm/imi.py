@@ -6,12 +6,19 @@ centroids, taken from a heap, until the cells hold ``share`` of all rows, and re
 entry of the visited cells by the exact inner product. Codebooks are fitted on a bounded
 sample; every row is indexed.
 
+The number of cells follows the square root of the rows (``codewords``). Where the visit
+stops is measured, not guessed: ``needed_share`` finds on the bounded sample which share of
+the rows holds ``recall`` of the true neighbours. Clustered vectors need a small share,
+uniform ones most rows. True neighbours in the whole table lie nearer than those in the
+sample, so the share errs to the large side.
+
 Entries lie in blocks of neighbouring cells with at most ``block`` rows (larger cells are
 cut by a hash of the id); queries meet them in tiles of ``tile`` rows, so one group holds a
-block and a tile and never more.
+block and a tile and never more. A query goes to a block with those of its cells that lie
+there, so all its cells are sent once.
 
 Defined cases: vectors null, zero or with null or non-finite components, and vectors of
-another length than most, take no part; of repeated ids the smallest vector counts; null
+another length than most, take no part; of repeated ids the smallest usable vector counts; null
 ids are left out; an empty table gives no rows; other columns are ignored.
 """
 
@@ -50,6 +57,35 @@ def nearest(rows: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(1) - 2 * rows @ c.T).argmin(1)
 
 
+def codewords(rows: int, most: int = 256) -> int:
+    """Centroids of each half for so many rows: 16 at ten thousand, growing so that the
+    cells follow the square root of the rows."""
+    return int(min(most, max(4, round(1.6 * rows**0.25))))
+
+
+def needed_share(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], half: int, neighbours: int, recall: float, asked: int = 400) -> float:
+    """The share of rows that a visit has to hold so that ``recall`` of the neighbours
+    among the sampled rows ``x`` are in it, over ``asked`` of them as queries."""
+    n, width = len(x), len(books[1])
+    most = min(neighbours, n - 1)
+    if most < 1:
+        return 1.0
+    cell = nearest(x[:, :half], books[0]) * width + nearest(x[:, half:], books[1])
+    counts = np.bincount(cell, minlength=len(books[0]) * width)
+    shares = []
+    for i in range(min(asked, n)):
+        score = x @ x[i]
+        score[i] = -np.inf
+        true = np.argpartition(-score, most - 1)[:most]
+        near = ((books[0] @ x[i, :half])[:, None] + (books[1] @ x[i, half:])[None, :]).ravel()
+        order = np.argsort(-near, kind="stable")
+        held = np.empty(len(order))
+        held[order] = np.cumsum(counts[order])
+        # a visit that holds less than this stops before the neighbour's cell
+        shares.append((held[cell[true]] - counts[cell[true]] + 1) / n)
+    return float(np.quantile(np.concatenate(shares), recall, method="higher"))
+
+
 def visit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: float) -> list[int]:
     """Cells in falling order of first[i] + second[j] until they hold ``enough`` rows.
     ``counts`` [i, j] are rows in a cell."""
@@ -83,9 +119,10 @@ def best(entries: np.ndarray, ids: np.ndarray, query: np.ndarray, rough: np.ndar
     return ids[near][order], exact[order]
 
 
-def search(embeddings: DataFrame, every: int = 20, neighbours: int = 20, k: int = 16, share: float = 0.7, sample: int = 8000, block: int = 4096, tile: int = 1024) -> DataFrame:
+def search(embeddings: DataFrame, every: int = 20, neighbours: int = 20, k: int | None = None, share: float | None = None, recall: float = 0.96, sample: int = 8000, block: int = 4096, tile: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible by ``every``
-    its ``neighbours`` nearest other rows by inner product, ties to the smaller id."""
+    its ``neighbours`` nearest other rows by inner product, ties to the smaller id. ``k``
+    codewords of each half and the visited ``share`` follow the table unless given."""
     spark = embeddings.sparkSession
     rows = materialize(one_per_id(embeddings).filter(usable("embedding")), "imi-rows")
     dim = common_size(rows)
@@ -95,8 +132,10 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = 20, k: int
         return spark.createDataFrame([], RESULT)
     x = np.array([r["embedding"] for r in drawn], np.float64)
     half = max(1, dim // 2)
+    k = k or codewords(rows.count())
     books = (codebook(x[:, :half], k), codebook(x[:, half:], k) if dim > 1 else np.zeros((1, 0)))
     shape = (len(books[0]), len(books[1]))
+    share = share or needed_share(x, books, half, neighbours, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +159,6 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = 20, k: int
                 at, held = at + 1, 0
             first_block[c] = at
             held += n
-    blocks_of = {c: list(range(first_block[c], first_block[c] + parts[c])) for c in np.flatnonzero(counts).tolist()}
     enough = max(share * counts.sum(), neighbours + 1)  # the query's own row too
     grid = counts.reshape(shape)
     asked = index.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
@@ -129,16 +167,27 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = 20, k: int
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = matrix(b.column("embedding"), dim)
-            cells = [visit(f, s, grid, enough) for f, s in zip(q[:, :half] @ books[0].T, q[:, half:] @ books[1].T)]
-            blocks = [sorted({x for c in v for x in blocks_of[c]}) for v in cells]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(cells, pa.list_(pa.int32())), pa.array(blocks, pa.list_(pa.int32()))], names=["vec_id", "embedding", "cells", "blocks"])
+            visits = []
+            for f, s in zip(q[:, :half] @ books[0].T, q[:, half:] @ books[1].T):
+                there: dict[int, list[int]] = {}
+                for c in visit(f, s, grid, enough):
+                    for x in range(first_block[c], first_block[c] + parts[c]):
+                        there.setdefault(int(x), []).append(c)
+                visits.append([{"block": x, "cells": v} for x, v in there.items()])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(visits, of_visit)], names=["vec_id", "embedding", "visits"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, part = b.column("cell").to_numpy(), b.column("part").to_numpy()
+            block = first_block[cell] + part % parts[cell]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), b.column("cell"), pa.array(block.astype(np.int32))], names=["vec_id", "embedding", "cell", "block"])
 
-    planned = asked.mapInArrow(plan, extended(asked, asked.columns, "cells array<int>, blocks array<int>"))
+    of_visit = pa.list_(pa.struct([("block", pa.int32()), ("cells", pa.list_(pa.int32()))]))
+    planned = asked.mapInArrow(plan, extended(asked, asked.columns, "visits array<struct<block: int, cells: array<int>>>"))
     planned = materialize(planned.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")), "imi-queries")
-    asks = planned.select("vec_id", "embedding", "cells", "tile", F.explode("blocks").alias("block"))
-    layout = F.create_map(*[F.lit(int(v)) for c in blocks_of for v in (c, first_block[c])])
-    wide = F.create_map(*[F.lit(int(v)) for c in blocks_of for v in (c, parts[c])])
-    placed = index.withColumn("block", (layout[F.col("cell")] + F.pmod(F.xxhash64("vec_id"), wide[F.col("cell")])).cast("int"))
+    asks = planned.select("vec_id", "embedding", "tile", F.explode("visits").alias("_v")).select("vec_id", "embedding", "tile", "_v.cells", "_v.block")
+    numbered = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(2**31 - 1)))
+    placed = numbered.mapInArrow(place, extended(index, index.columns, "block int"))
     met = materialize(asks.select("block", "tile").distinct(), "imi-met")  # a block meets the tiles that visit it
     placed = placed.join(met, "block")
 

@@ -11,7 +11,7 @@ Buckets above ``part`` rows are cut, and their parts meet in pairs.
 
 Defined cases: vectors null, zero or with null or non-finite components link with nothing
 and are their own component; vectors of another length never share a bucket with the rest;
-of repeated ids the smallest vector counts; rows without id are returned with no links, no
+of repeated ids the smallest usable vector counts; rows without id are returned with no links, no
 component and kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,6 +32,8 @@ from panelkit.session import materialize
 
 #: Bucket rows compared at once against a whole bucket.
 ROWS = 1024
+#: Copies above which a vector's rows stay where they are in the last join.
+MANY = 100_000
 
 
 def layout(vectors: int, cosine: float, miss: float, bucket: int = 256) -> tuple[int, int]:
@@ -66,7 +68,7 @@ def compared(x: np.ndarray, weight: np.ndarray, signs: np.ndarray, table: int, l
     return links, forest
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, miss: float = 1e-3, part: int = 4096, bundle: int = 20_000, seed: int = 23) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, miss: float = 1e-3, part: int = 4096, bundle: int = 20_000, many: int = MANY, seed: int = 23) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector: links are pairs with at least
     this cosine; component_id is the smallest id reachable; kept marks those."""
     every = materialize(one_per_id(embeddings), "lsh-rows")
@@ -131,9 +133,13 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, miss: float = 1e
     linked = found.filter("n > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     joined = connected_components(found.filter("u <> v").select("u", "v"), "lsh-cc").withColumnRenamed("node", "rep")
     named = groups.join(linked, "rep", "left").join(joined, "rep", "left")
-    named = named.select(F.col("embedding").alias("_e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = named.select(F.col("embedding").alias("_e"), "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     named = materialize(named, "lsh-named")
-    out = every.join(named, F.col("embedding") == F.col("_e"), "left")
+    # a very common vector would be one task of the join; there are at most rows / MANY of them
+    hot = size_bounded(named.filter(F.col("copies") > many), 10_000)
+    same = F.col("embedding") == F.col("_e")
+    rare = every.join(hot, same, "left_anti").join(named.filter(F.col("copies") <= many), same, "left")
+    out = every.join(hot, same).unionByName(rare)
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     out = out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
     nameless = embeddings.filter("vec_id is null").select(F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))

@@ -16,9 +16,10 @@ def usable(v: str | Column) -> Column:
 
 
 def one_per_id(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, embedding) with one row per id: of repeated ids the smallest vector."""
+    """(vec_id, embedding) with one row per id: of repeated ids the smallest usable vector,
+    else the smallest array."""
     rows = embeddings.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("embedding"))
-    return rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.filter("vec_id is not null").groupBy("vec_id").agg(F.coalesce(F.min(F.when(usable("embedding"), F.col("embedding"))), F.min("embedding")).alias("embedding"))
 
 
 def common_size(vectors: DataFrame) -> int:

@@ -243,11 +243,41 @@ def test_heap_visits_in_order():
     assert sums == sorted(sums, reverse=True) and set(got) == set(np.flatnonzero(counts.ravel()).tolist())
 
 
-@pytest.mark.parametrize("part", [4096, 16])
-def test_vector_links_match_all_pairs(spark, part):
+@pytest.mark.parametrize(("clusters", "least", "most"), [(0, 0.3, 1.0), (40, 0.0, 0.2)])
+def test_visited_share_follows_the_vectors(spark, clusters, least, most):
+    """Uniform vectors need many rows, clustered ones few; recall holds for both, also at
+    other numbers of cells."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    if clusters:
+        x = rng.normal(size=(clusters, 16))[rng.integers(0, clusters, len(x))] + 0.1 * x
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    books = imi.codebook(x[:, :8], imi.codewords(len(x))), imi.codebook(x[:, 8:], imi.codewords(len(x)))
+    assert least <= imi.needed_share(x, books, 8, 20, 0.96) <= most
+    want = brute.nearest(rows)
+    for k in (None, 4):
+        found = imi.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=k, block=200, tile=64).collect()
+        assert len({(r.query_id, r["rank"]) for r in found}) == len(found) == 20 * len(want)
+        hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in found)
+        assert hits / len(found) >= 0.9
+
+
+def test_codewords_follow_the_rows():
+    assert [imi.codewords(n) for n in (0, 1, 10_000, 10**8, 10**12)] == [4, 4, 16, 160, 256]
+
+
+def test_an_array_with_a_null_hides_no_usable_vector(spark):
+    df = spark.createDataFrame([(0, [None, 1.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, None])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in imi.search(df).collect()} == {(0, 1)}
+    assert {(r.vec_id, r.n_links, r.component_id) for r in lsh.near_duplicates(df).collect()} == {(0, 1, 0), (1, 1, 0), (2, 0, 2)}
+
+
+@pytest.mark.parametrize(("part", "many"), [(4096, 100_000), (16, 20)])
+def test_vector_links_match_all_pairs(spark, part, many):
     rows, df = vectors(spark)
     want = brute.vector_links(rows)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lsh.near_duplicates(df, part=part, bundle=500).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lsh.near_duplicates(df, part=part, bundle=500, many=many).collect()}
     assert got == want
     assert max(v[0] for v in want.values()) >= 139
 
