@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelkit.functions import stats as S
 from panelkit.operators import ranks
 from panelkit.operators.months import calendar_broadcast
+from panelkit.session import materialize
 
 
 def zscores(df: DataFrame, columns: dict[str, Column], key: str | list[str] = "ym") -> DataFrame:
@@ -50,7 +51,10 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
-    ranked = ranks.averaged(pairs, keys, {"_x": "rx", "_y": "ry"})
+    return _ic_of_ranks(ranks.averaged(pairs, keys, {"_x": "rx", "_y": "ry"}), keys)
+
+
+def _ic_of_ranks(ranked: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(
         S.pearson("rx", "ry").alias("ic"), F.count("rx").alias("n"),
         F.round(F.sum(1 / F.col("rx_ties"))).cast("long").alias("n_distinct"),
@@ -59,14 +63,29 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def rank_ic(panel: DataFrame, features: list[str], label: str, min_rows: int = 12, min_months: int = 6) -> DataFrame:
     """Monthly rank correlation of every feature with the label, summarised: mean, t
-    (population deviation), share of positive months, months."""
-    wide = panel.filter(F.col(label).isNotNull()).select("ym", label, *[F.col(f).cast("double") for f in features])
+    (population deviation), share of positive months, months.
+
+    Features of a month that are known for the same labels share the label's ranks, which
+    are taken once. Ranks of values and of labels come from one pass over distinct values."""
+    wide = panel.filter(F.col(label).isNotNull()).select("ym", F.col(label).cast("double").alias("_y"), *[F.col(f).cast("double") for f in features])
+    long = wide.unpivot(["ym", "_y"], features, "feature", "_x").filter("_x is not null")
+    # equal sets of labels have equal sums of two hashes, in halves that cannot overflow
+    hashes = [F.xxhash64("_y", F.lit(k)) for k in (1, 2)]
+    halves = [h for w in hashes for h in (F.sum(w.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftright(w, 32)))]
+    sizes = long.groupBy("ym", "feature").agg(F.count("_x").alias("n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.struct(*halves).alias("_set"))
     # month-wide constants go before any rank is taken: minimum equals maximum
-    long = wide.unpivot(["ym", label], features, "feature", "value").filter("value is not null")
-    varied = long.groupBy("ym", "feature").agg(F.count("value").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    varied = varied.filter((F.col("_n") >= min_rows) & (F.col("_lo") < F.col("_hi"))).select("ym", "feature")
-    long = long.join(varied, ["ym", "feature"], "left_semi")
-    monthly = spearman(long, ["ym", "feature"], "value", label).filter(
+    varied = sizes.filter((F.col("n") >= min_rows) & (F.col("_lo") < F.col("_hi")))
+    shared = F.min("feature").over(Window.partitionBy("ym", "n", "_set"))
+    varied = materialize(varied.select("ym", "feature", shared.alias("_of")), "rank-ic-sets")
+    rows = long.join(calendar_broadcast(varied), ["ym", "feature"])  # a row per month and feature
+    counted = rows.groupBy("ym", F.col("feature").alias("_k"), F.col("_x").alias("_v")).agg(F.count(F.lit(1)).alias("_ties")).withColumn("_is_x", F.lit(True))
+    labels = rows.filter("feature = _of").groupBy("ym", F.col("_of").alias("_k"), F.col("_y").alias("_v")).agg(F.count(F.lit(1)).alias("_ties")).withColumn("_is_x", F.lit(False))
+    placed = ranks.prefix_sums(counted.unionByName(labels), ["ym", "_k", "_is_x"], [F.col("_v")], "rank-ic", _before=F.col("_ties"))
+    placed = placed.select("ym", "_k", "_v", "_is_x", "_ties", (F.col("_before") + (F.col("_ties") + 1) / 2).alias("_rank"))
+    of_x = placed.filter("_is_x").select("ym", F.col("_k").alias("feature"), F.col("_v").alias("_x"), F.col("_rank").alias("rx"), F.col("_ties").alias("rx_ties"))
+    of_y = placed.filter("not _is_x").select("ym", F.col("_k").alias("_of"), F.col("_v").alias("_y"), F.col("_rank").alias("ry"))
+    ranked = rows.join(of_x, ["ym", "feature", "_x"]).join(of_y, ["ym", "_of", "_y"])
+    monthly = _ic_of_ranks(ranked, ["ym", "feature"]).filter(
         (F.col("n") >= min_rows) & (F.col("n_distinct") > 3) & F.col("ic").isNotNull()
     )
     g = monthly.groupBy("feature").agg(
