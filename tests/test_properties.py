@@ -2,6 +2,7 @@
 
 import bisect
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,22 @@ def test_windows_on_the_written_panel_need_no_exchange(market):
     plan = panels.symbol_features(market.prices, baskets.market_index(market.prices, MIN_ADV))._jdf.queryExecution().executedPlan().toString()
     main = plan.split("BroadcastExchange")[0]
     assert "Exchange" not in main and main.count("Window [") == 1
+
+
+def test_rank_ic_with_shared_and_own_sets_of_labels(spark):
+    """Complete features, two that miss the same rows, one that misses others, a constant;
+    labels and values with ties."""
+    rng = np.random.default_rng(8)
+    n = 7 * 30
+    pdf = pd.DataFrame({"ym": np.repeat(np.arange(7), 30), "y": rng.integers(0, 9, n) / 4.0, "a": rng.integers(0, 12, n) / 3.0, "b": rng.normal(size=n), "c": rng.normal(size=n), "d": rng.normal(size=n), "e": rng.normal(size=n), "same": 1.0})
+    pdf.loc[pdf.index % 3 == 0, ["c", "d"]] = None
+    pdf.loc[pdf.index % 3 == 1, "e"] = None
+    pdf.loc[pdf.index % 10 == 0, "y"] = None
+    names = ["a", "b", "c", "d", "e", "same"]
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in pdf.astype(object).itertuples(index=False)]
+    df = spark.createDataFrame(rows, "ym int, y double, a double, b double, c double, d double, e double, same double")
+    got = {r.feature: (r.mean_ic, r.hit, r.n_months) for r in X.rank_ic(df, names, "y").collect()}
+    assert set(got) == set(names) - {"same"}
+    for f in got:
+        ics = [g[f].rank().corr(g["y"].rank()) for _, g in pdf.dropna(subset=[f, "y"]).groupby("ym")]
+        assert got[f][2] == 7 and np.isclose(got[f][0], np.mean(ics), atol=1e-12) and np.isclose(got[f][1], np.mean(np.array(ics) > 0))
